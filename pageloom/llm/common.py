@@ -55,3 +55,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 def text_key() -> Column:
     """64 bits of the text; null and empty texts are told apart."""
     return F.xxhash64(F.col("text"), F.col("text").isNull())
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64 bits that tell rows apart by id and text; repeated rows share them."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the edges (a, b): rows (node, root), the root being the least node.
+
+    Alternating large-star and small-star rounds; each round is written to the shared folder, so neither
+    lineage nor driver memory grows. Rounds are logarithmic in the longest chain in practice.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = None
+    while True:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        now = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = seen
