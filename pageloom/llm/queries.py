@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, quality, simhash
+from . import decontaminate, linededup, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,33 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES["op9_benchmark_decontamination"] = op9_benchmark_decontamination
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
+QUERIES["op6_sharding"] = op6_sharding
+ORACLE["op6_sharding"] = """
+WITH RECURSIVE grp AS (
+    SELECT source, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS size FROM documents GROUP BY source
+), ranked AS (
+    SELECT source, size, row_number() OVER (ORDER BY size DESC, source ASC NULLS LAST) AS k FROM grp
+), placed(k, loads, shard) AS (
+    SELECT CAST(0 AS BIGINT), list_transform(range(16), lambda i: CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT r.k,
+           list_transform(p.loads, lambda x, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN x + r.size ELSE x END),
+           CAST(list_position(p.loads, list_min(p.loads)) - 1 AS BIGINT)
+    FROM placed p JOIN ranked r ON r.k = p.k + 1
+)
+SELECT d.doc_id, d.source AS "group", CAST(p.shard AS INT) AS shard
+FROM documents d JOIN ranked r ON d.source IS NOT DISTINCT FROM r.source JOIN placed p ON p.k = r.k
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_documents(spark, sf_dir))
+
+
+QUERIES["op8_best_fit_packing"] = op8_best_fit_packing
