@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, quality, sharding, simhash
+from . import chat, decontaminate, licenses, linededup, packing, pii, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,54 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_best_fit_packing"] = op8_best_fit_packing
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir))
+
+
+QUERIES["op1_pii_pseudonyms"] = op1_pii_pseudonyms
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES["op3_chat_formatting"] = op3_chat_formatting
+ORACLE["op3_chat_formatting"] = """
+WITH RECURSIVE m AS (
+    SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, 'unknown'), coalesce(text, '')) = 1
+), n AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS score,
+           (SELECT max(p.turn) FROM m p WHERE p.conv_id = m.conv_id AND p.turn < m.turn AND p.role <> m.role) AS parent
+    FROM m
+), walk AS (
+    SELECT conv_id, turn, CAST(score AS BIGINT) AS score, CAST(1 AS BIGINT) AS n_messages,
+           '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS text
+    FROM n WHERE parent IS NULL
+    UNION ALL
+    SELECT c.conv_id, c.turn, CAST(w.score + c.score AS BIGINT), w.n_messages + 1,
+           w.text || '<|' || c.role || '|>' || chr(10) || c.text || chr(10) || '<|end|>' || chr(10)
+    FROM walk w JOIN n c ON c.conv_id = w.conv_id AND c.parent = w.turn
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, n_messages DESC, turn) AS rank
+    FROM walk w WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.conv_id = w.conv_id AND c.parent = w.turn)
+)
+SELECT conv_id, rank, turn AS leaf_turn, score, n_messages, text FROM leaves WHERE rank <= 3
+"""
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_documents(spark, sf_dir))
+
+
+QUERIES["op5_secret_scan"] = op5_secret_scan
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
+QUERIES["op7_license_scan"] = op7_license_scan
