@@ -1,22 +1,52 @@
-"""The corpus pipeline: stages over ``documents``, each reading what its predecessor kept."""
+"""The corpus pipeline: stages over ``documents``, each reading what its predecessor kept.
+
+Each stage but the last returns the columns of ``documents``: quality rules drop rejected documents, line
+dedup removes later matches of lines, SimHash near-dedup keeps one document of each group, decontamination
+drops documents that hold a benchmark item, and best-fit packing places what is left in training bins.
+Null values, empty texts, repeated rows, empty tables and further columns are treated as each operator's
+module says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import quality
+from pageloom.llm import decontaminate, linededup, packing, quality, simhash
+from pageloom.llm.common import cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_documents(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.keep_lines(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_documents(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
