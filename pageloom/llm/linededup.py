@@ -34,8 +34,9 @@ from . import vec
 from .common import cut, narrow, positional, row_key
 
 THRESHOLD = Fraction(4, 5)
-BUCKETS, RARE = 22, 256
-_PAIRS = 1 << 22
+BUCKETS, RARE, BEST = 22, 1024, 8
+_PAIRS = 1 << 19
+_LAST = (1 << 63) - 1
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -83,34 +84,44 @@ def set_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(vec.mix(h ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1]).view(np.int64)
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The logarithmic word count of each bucket, 0 where a bucket has at most one word; the code above
-    which words are frequent. The table has a fixed size, whatever the corpus."""
+def survey(docs: DataFrame) -> DataFrame:
+    """One scan for two results: doc_id, key, line_no (from 1) and set id of every line with words, and
+    in other rows a bucket b of words with the number n of lines that hold one, summed over some batches."""
+    rows = narrow(docs, "doc_id", "text").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    none = np.zeros(1 << BUCKETS, np.uint8)
+    names = ["doc_id", "key", "line_no", "sid", "b", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {"b": [], "n": []}
-        held = 0
+        held: list[np.ndarray] = []
+        size, id_type = 0, None
 
-        def flush() -> pa.RecordBatch:
-            b, n = np.concatenate(total["b"]), np.concatenate(total["n"])
-            u, at = np.unique(b, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["b", "n"])
+        def counts() -> pa.RecordBatch:
+            b, n = np.unique(np.concatenate(held), return_counts=True)
+            void = [pa.nulls(len(b), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*void, pa.array(b), pa.array(n)], names=names)
 
         for batch in batches:
-            for _, _, _, h in line_words(batch.column(0)):
-                u, n = np.unique(_bucket(h), return_counts=True)
-                total["b"].append(u)
-                total["n"].append(n)
-                held += len(u)
-            if held > 1 << 22:
-                yield flush()
-                total, held = {"b": [], "n": []}, 0
-        if held:
-            yield flush()
-
-    counts = narrow(docs, "text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).where("n > 1")
-    coded = counts.select("b", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("code"))
-    got = coded.toArrow()
+            id_type = batch.column(0).type
+            for row, number, bounds, h in line_words(batch.column(2), none):
+                at, void = pa.array(row), [pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number + 1), pa.array(set_ids(h, bounds)), *void], names=names)
+                held.append(_bucket(h).astype(np.int32))
+                size += len(h)
+            if size > 1 << 21:
+                yield counts()
+                held, size = [], 0
+        if size:
+            yield counts()
+
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, line_no long, sid long, b int, n long")
+
+
+def rarity(surveyed: DataFrame) -> tuple[np.ndarray, int]:
+    """The logarithmic line count of each bucket, 0 where a bucket's word stands in one line; the code
+    above which words are frequent. The table has a fixed size, whatever the corpus."""
+    counts = surveyed.where("b is not null").groupBy("b").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counts.select("b", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("code")).toArrow()
     code = np.zeros(1 << BUCKETS, np.uint8)
     code[got.column("b").to_numpy()] = got.column("code").to_numpy()
     usual = int(np.median(code[code > 0])) if (code > 0).any() else 0
@@ -137,78 +148,136 @@ def _keys(h: np.ndarray, bounds: np.ndarray, code: np.ndarray, frequent: int, t:
     return np.r_[line[rare], ol[a]], np.r_[word[rare], vec.mix(ow[a] * np.uint64(3) ^ vec.mix(ow[b]))], np.r_[pos[rare], op[a]]
 
 
-def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction) -> DataFrame:
+def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """key, sid, doc, line, spot (size and position) and parity; with ``only``, of the keys that pass it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, bounds, h in line_words(batch.column(0), code):
+            ids = pc.fill_null(batch.column(0), _LAST).to_numpy(zero_copy_only=False)
+            for row, number, bounds, h in line_words(batch.column(1), code):
                 sid = set_ids(h, bounds)
-                _, one = np.unique(sid, return_index=True)
+                new = np.ones(len(sid), bool)
+                o = np.lexsort((number, ids[row], sid))
+                new[o[1:][sid[o][1:] == sid[o][:-1]]] = False  # the first of equal sets stands for them
                 parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), bounds[:-1])
                 line, key, pos = _keys(h, bounds, code, frequent, t)
-                new = np.zeros(len(sid), bool)
-                new[one] = True
                 keep = new[line]
+                if only is not None:
+                    keep &= _passes(only, key.view(np.int64))
                 line, key, pos = line[keep], key[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(sid[line]), pa.array(np.diff(bounds)[line].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(parity[line].view(np.int64))],
-                    names=["key", "sid", "size", "pos", "parity"],
-                )
+                spot = (np.diff(bounds)[line] << 32) | pos
+                cols = [key.view(np.int64), sid[line], ids[row[line]], number[line], spot, parity[line].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "doc", "line", "spot", "parity"])
+
+    rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "key long, sid long, doc long, line long, spot long, parity long")
 
-    return narrow(docs, "text").mapInArrow(run, "key long, sid long, size int, pos int, parity long")
 
+def _candidates(cols: list[np.ndarray], t: Fraction, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(later, earlier, key) for sets that share a key and pass the filters.
 
-def _candidates(cols: list[np.ndarray], t: Fraction) -> Iterator[np.ndarray]:
-    """Pairs of set ids that share a key and pass the filters."""
-    key, sid, size, pos, parity = cols
-    o = np.lexsort((sid, size, key))
+    With ``best`` a set that has more earlier partners in one key keeps those of the least parity distance,
+    and a row without partner names the key that was cut short. Without, every partner is given.
+    """
+    key, sid, doc, line, spot, parity = cols
+    o = np.lexsort((line, doc, sid, spot >> 32, key))
     o = o[np.r_[True, (key[o][1:] != key[o][:-1]) | (sid[o][1:] != sid[o][:-1])]]
-    key, sid, size, pos, parity = (c[o] for c in (key, sid, size.astype(np.int64), pos.astype(np.int64), parity))
-    end = np.searchsorted(key, key, "right")
+    key, sid, doc, line, spot, parity = (c[o] for c in (key, sid, doc, line, spot, parity))
+    size, pos, parity = spot >> 32, spot & 0xFFFFFFFF, parity.view(np.uint64)  # bits of signed numbers are counted without the sign
+    n = len(key)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((sid, line, doc))] = np.arange(n)
+    head = np.r_[True, key[1:] != key[:-1]]
+    group = np.cumsum(head)
     # lengths rise within a key, so the partners of a set end where n t exceeds its own length
-    head = np.searchsorted(key, key, "left")
-    group = np.cumsum(head == np.arange(len(key)))
     wide = int(size.max()) * t.denominator + 2
-    most = size * t.denominator // t.numerator
-    end = np.minimum(end, np.searchsorted(group * wide + size, group * wide + np.minimum(most, wide - 1), "right"))
-    count = end - np.arange(len(key)) - 1
+    most = np.minimum(size * t.denominator // t.numerator, wide - 1)
+    end = np.searchsorted(group * wide + size, group * wide + most, "right")
+    count = end - np.arange(n) - 1
     total = np.cumsum(count)
-    i0 = 0
-    while i0 < len(key):
-        i1 = max(i0 + 1, int(np.searchsorted(total, (total[i0 - 1] if i0 else 0) + _PAIRS, "right")))
-        i = np.repeat(np.arange(i0, i1), count[i0:i1])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[i0:i1]) - count[i0:i1], count[i0:i1])
-        both = size[i] + size[j]
-        need = -(-both * t.numerator // (t.numerator + t.denominator))
-        ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-        ok &= np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need
-        a, b = sid[i[ok]], sid[j[ok]]
-        if len(a):
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    small = size.astype(np.int32)
+    rest = ((size - pos) * (t.numerator + t.denominator)).astype(np.int32)
+    pairs, i0 = [], 0
+    ends = np.append(np.flatnonzero(head)[1:], n)
+    while i0 < n:
+        # whole keys at a time, as many as the pair budget takes, one at least
+        want = (total[i0 - 1] if i0 else 0) + _PAIRS
+        k = int(np.searchsorted(ends, max(i0 + 1, int(np.searchsorted(total, want, "right"))), "left"))
+        i1 = int(ends[min(k, len(ends) - 1)])
+        for lo, hi in _steps(total, i0, i1):
+            n_each = count[lo:hi]
+            j = np.arange(int(n_each.sum()), dtype=np.int32)
+            j += np.repeat((np.arange(lo, hi) + 1 - (np.cumsum(n_each) - n_each)).astype(np.int32), n_each)
+            both = np.repeat(small[lo:hi], n_each) + small[j]
+            # the shared words that are still possible are at least the overlap that the threshold asks for
+            ok = np.flatnonzero((np.repeat(rest[lo:hi], n_each) >= t.numerator * both) & (rest[j] >= t.numerator * both))
+            i, j, both = np.repeat(np.arange(lo, hi, dtype=np.int32), n_each)[ok], j[ok], both[ok]
+            far = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32)
+            ok = far * (t.numerator + t.denominator) <= (t.denominator - t.numerator) * both
+            i, j, far = i[ok], j[ok], far[ok]
+            swap = rank[i] > rank[j]
+            pairs.append(np.stack([np.where(swap, i, j), np.where(swap, j, i), far]))
+        later, earlier, far = np.concatenate(pairs, axis=1)
+        pairs = []
+        if len(later):
+            if best is None:
+                yield sid[later], sid[earlier], np.zeros(len(later), np.int64)
+            else:
+                o = np.lexsort((rank[earlier], far, later))
+                later, earlier = later[o], earlier[o]
+                first = np.r_[True, later[1:] != later[:-1]]
+                at = np.arange(len(later))
+                nth = at - np.maximum.accumulate(np.where(first, at, 0))
+                keep = nth < best
+                yield sid[later[keep]], sid[earlier[keep]], np.zeros(int(keep.sum()), np.int64)
+                cut_short = later[nth == best]
+                if len(cut_short):
+                    yield sid[cut_short], np.zeros(0, np.int64), key[cut_short]
         i0 = i1
 
 
-def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction) -> DataFrame:
-    """Distinct pairs (a, b) of set ids to verify."""
+def _steps(total: np.ndarray, i0: int, i1: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``_PAIRS`` pairs."""
+    while i0 < i1:
+        j = min(i1, max(i0 + 1, int(np.searchsorted(total, (total[i0 - 1] if i0 else 0) + _PAIRS, "right"))))
+        yield i0, j
+        i0 = j
+
+
+def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, best: int | None = BEST, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """later, earlier, key as ``_candidates`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if held:
             table = pa.Table.from_batches(held)
             del held
-            for p in _candidates([c.to_numpy() for c in table.columns], t):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            for later, earlier, key in _candidates([c.to_numpy() for c in table.columns], t, best):
+                other = pa.array(earlier) if len(earlier) else pa.nulls(len(later), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(later), other, pa.array(key)], names=["later", "earlier", "key"])
 
-    return postings(docs, code, frequent, t).repartition("key").mapInArrow(run, "a long, b long").distinct()
+    return postings(docs, code, frequent, t, only).repartition("key").mapInArrow(run, "later long, earlier long, key long")
 
 
-def _filter(pairs: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the pairs' set ids, at most 32 MB; a full one only lets more sets through."""
+def _passes(table: tuple[np.ndarray, int], ids: np.ndarray) -> np.ndarray:
+    words, bits = table
+    spot = (vec.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (words[spot >> 6] >> (spot & 63)) & 1 == 1
+
+
+def _filter(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the one column, at most 32 MB; a full one only lets more through."""
     bits = int(np.clip(np.ceil(np.log2(max(count, 1) * 32)), 16, 28))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
-    spot = F.shiftrightunsigned("sid", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = ids.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(bit).alias("m"))
-    got = words.toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spot = np.unique((vec.mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64))
+            if len(spot):
+                word, first = np.unique(spot >> 6, return_index=True)
+                mask = np.bitwise_or.reduceat(np.int64(1) << (spot & 63), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], names=["w", "m"])
+
+    got = ids.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return out, bits
@@ -216,17 +285,14 @@ def _filter(pairs: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
 def word_sets(docs: DataFrame, code: np.ndarray, wanted: tuple[np.ndarray, int]) -> DataFrame:
     """sid, words: the sets that pass the filter, once each."""
-    table, bits = wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, bounds, h in line_words(batch.column(0), code):
                 sid = set_ids(h, bounds)
-                spot = (sid.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                hit = (table[spot >> 6] >> (spot & 63)) & 1 == 1
                 one = np.zeros(len(sid), bool)
                 one[np.unique(sid, return_index=True)[1]] = True
-                pick = np.flatnonzero(hit & one)
+                pick = np.flatnonzero(_passes(wanted, sid) & one)
                 sizes = np.diff(bounds)[pick]
                 start = np.cumsum(sizes) - sizes
                 at = np.repeat(bounds[:-1][pick] - start, sizes) + np.arange(sizes.sum())
@@ -236,53 +302,50 @@ def word_sets(docs: DataFrame, code: np.ndarray, wanted: tuple[np.ndarray, int])
     return narrow(docs, "text").mapInArrow(run, "sid long, words array<long>").dropDuplicates(["sid"])
 
 
-def matches(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b) of distinct sets with a Jaccard similarity of at least the threshold."""
-    code, frequent = rarity(docs)
-    pairs = cut(candidates(docs, code, frequent, threshold), "pairs")
-    sets = cut(word_sets(docs, code, _filter(pairs, pairs.count())), "sets")
-    left, right = sets.toDF("a", "wa"), sets.toDF("b", "wb")
-    both = F.size(F.array_intersect("wa", "wb")) * (threshold.numerator + threshold.denominator)
-    return pairs.join(left, "a").join(right, "b").where(both >= (F.size("wa") + F.size("wb")) * threshold.numerator).select("a", "b")
+def _verified(docs: DataFrame, pairs: DataFrame, code: np.ndarray, t: Fraction) -> DataFrame:
+    """The later sets of the pairs (later, earlier) whose whole word sets are similar enough."""
+    ids = pairs.select(F.explode(F.array("later", "earlier")).alias("sid"))
+    sets = cut(word_sets(docs, code, _filter(ids, 2 * pairs.count())), "sets")
+    left, right = sets.toDF("later", "wa"), sets.toDF("earlier", "wb")
+    both = F.size(F.array_intersect("wa", "wb")) * (t.numerator + t.denominator)
+    return pairs.join(left, "later").join(right, "earlier").where(both >= (F.size("wa") + F.size("wb")) * t.numerator).select("later").distinct()
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, line_no (from 1) and set id of every line with words."""
-    rows = narrow(docs, "doc_id", "text").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    none = np.zeros(1 << BUCKETS, np.uint8)
+def similar_sets(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction) -> DataFrame:
+    """sid: the distinct sets that are similar to one that occurs earlier and differs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, number, bounds, h in line_words(batch.column(2), none):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number + 1), pa.array(set_ids(h, bounds))], names=["doc_id", "key", "line_no", "sid"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, line_no long, sid long")
+    One match is enough, so first the few closest candidates of a set in each key are verified, which
+    settles the members of large groups. A set that isn't settled and had more candidates is then compared
+    with all of them.
+    """
+    found = cut(candidates(docs, code, frequent, t), "candidates")
+    pairs = cut(found.where("earlier is not null").select("later", "earlier").distinct(), "pairs")
+    done = cut(_verified(docs, pairs, code, t), "similar")
+    more = cut(found.where("earlier is null").select("later", "key").join(done, "later", "left_anti"), "open")
+    count = more.count()
+    if not count:
+        return done.toDF("sid")
+    rest = candidates(docs, code, frequent, t, None, _filter(more.select("key"), count)).select("later", "earlier")
+    rest = cut(rest.join(more.select("later").distinct(), "later", "left_semi").distinct(), "rest")
+    return done.union(_verified(docs, rest, code, t)).distinct().toDF("sid")
 
 
 def removals(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, key, line_no, n (rows that share the key), of_doc, of_line: removed lines and the earliest match of each; a first line of repeated rows counts as one of n."""
-    every = cut(lines(docs).groupBy("sid", "key", "line_no").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "lines")
-    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
-    first = every.groupBy("sid").agg(F.min(where).alias("at"), F.sum("n").alias("copies"))
-    first = cut(first, "first")
-    pairs = matches(docs, threshold)
-    a = first.select(F.col("sid").alias("a"), F.col("at").alias("at_a"))
-    b = first.select(F.col("sid").alias("b"), F.col("at").alias("at_b"))
-    ordered = pairs.join(a, "a").join(b, "b")
-    later = ordered.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("sid"), F.least("at_a", "at_b").alias("before"))
-    similar = later.groupBy("sid").agg(F.min("before").alias("before"))
-    acts = first.join(similar, "sid", "left").where("before is not null or copies > 1")
-    rows = every.join(acts, "sid").withColumn("self", (F.col("key") == F.col("at.key")) & (F.col("line_no") == F.col("at.line_no")))
-    rows = rows.where("before is not null or not self or n > 1")
-    match = F.least("at", "before")
-    return rows.select("doc_id", "key", "line_no", F.when(F.col("before").isNull() & F.col("self"), F.col("n") - 1).otherwise(F.col("n")).alias("times"), "n", match["doc_id"].alias("of_doc"), match["line_no"].alias("of_line"))
+    """doc_id, key, line_no, times, n: the lines removed, of n rows that share the key in ``times``."""
+    surveyed = cut(survey(docs), "survey")
+    similar = similar_sets(docs, *rarity(surveyed), threshold)
+    every = surveyed.where("sid is not null").groupBy("sid", "key", "line_no").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    where = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "key"))
+    first = every.groupBy("sid").agg(where.alias("at"), F.sum("n").alias("copies"))
+    acts = first.join(similar.withColumn("gone", F.lit(True)), "sid", "left").where("gone or copies > 1")
+    rows = every.join(acts, "sid").withColumn("stays", F.col("gone").isNull() & (F.col("key") == F.col("at.key")) & (F.col("line_no") == F.col("at.line_no")))
+    return rows.select("doc_id", "key", "line_no", (F.col("n") - F.col("stays").cast("long")).alias("times"), "n").where("times > 0")
 
 
 def line_dedup(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, line_no, of_doc, of_line: each removed line and the earliest line that it matches."""
-    out = removals(docs, threshold).select("doc_id", "line_no", "of_doc", "of_line", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return out.select("doc_id", "line_no", "of_doc", "of_line")
+    """doc_id, line_no (from 1) of each removed line."""
+    out = removals(docs, threshold).select("doc_id", "line_no", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return out.select("doc_id", "line_no")
 
 
 def keep_lines(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
