@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import elements, scalars
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {**scalars.QUERIES, **elements.QUERIES}
+ORACLE: dict[str, str] = {**scalars.ORACLE, **elements.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Element counts by page and type of the fast analysis."""
+    return QUERIES["c07_fast_counts"](spark, sf_dir)
