@@ -106,7 +106,7 @@ class Graph:
             live, pick = live[some], pick[some]
             to = np.concatenate([self.links[pick], self.back[pick]], axis=2)
             to[pick < 0] = -1
-            cand = to.reshape(len(live), STEP * 2 * WIDTH)
+            cand = to.reshape(len(live), pick.shape[1] * 2 * WIDTH)
         heap = np.sort(np.where(heap < (_FAR << 33), heap & ~np.int64(1 << 32), heap), axis=1)
         dist = heap >> 33
         return np.where(dist < _FAR, heap & 0xFFFFFFFF, -1), dist
