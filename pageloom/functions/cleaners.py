@@ -15,6 +15,11 @@ _BULLETS = r"[\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}*\x{00B7}]"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ʪ": "ls", "ʦ": "ts", "ȹ": "qp"}
 
 
+def strip(text: Column) -> Column:
+    """Without blanks and breaks at either end (``trim`` takes spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
@@ -83,7 +88,7 @@ def mime_decoded(text: Column) -> Column:
 
 
 def bullets(text: Column) -> Column:
-    cleaned = F.trim(F.regexp_replace(text, rf"^\s*(?:{_BULLETS}\s*)+", ""))
+    cleaned = strip(F.regexp_replace(text, rf"^\s*(?:{_BULLETS}\s*)+", ""))
     return F.when(text.rlike(rf"^\s*{_BULLETS}"), cleaned).otherwise(text)
 
 
@@ -111,11 +116,11 @@ def ordered_bullet_parts(text: Column) -> Column:
 
 
 def dashes(text: Column) -> Column:
-    return F.trim(F.translate(text, "-–—", "   "))
+    return strip(F.translate(text, "-–—", "   "))
 
 
 def trailing_punctuation(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"[.,:;]+$", "")
+    return F.regexp_replace(strip(text), r"[.,:;]+$", "")
 
 
 def clean(text: Column, lowercase: bool = False, clean_bullets: bool = True, clean_dashes: bool = True, clean_trailing: bool = True, whitespace: bool = True) -> Column:
@@ -124,7 +129,7 @@ def clean(text: Column, lowercase: bool = False, clean_bullets: bool = True, cle
     steps += [F.lower] * lowercase + [bullets, ordered_bullets] * clean_bullets + [dashes] * clean_dashes + [trailing_punctuation] * clean_trailing + [extra_whitespace] * whitespace
     for s in steps:
         text = s(text)
-    return F.trim(text)
+    return strip(text)
 
 
 def without_prefix(text: Column, pattern: str) -> Column:
@@ -137,7 +142,7 @@ def without_postfix(text: Column, pattern: str) -> Column:
 
 def bullet_paragraphs(text: Column) -> Column:
     """The bulleted parts of a paragraph, line breaks become blanks."""
-    text = F.trim(F.regexp_replace(text, r"^e\s", "·"))
+    text = strip(F.regexp_replace(text, r"^e\s", "·"))
     parts = F.filter(F.split(text, _BULLETS, -1), lambda p: p != "")
     return F.transform(parts, lambda p: F.translate(p, "\n", " "))
 
@@ -147,20 +152,20 @@ def broken_paragraphs(text: Column) -> Column:
     def each(p: Column) -> Column:
         lines = F.split(p, "\n")
         short = F.forall(lines, lambda x: F.size(F.filter(F.split(x, _SPACE), lambda w: w != "")) < 5)
-        listed = F.trim(p).rlike(rf"^(?:{_BULLETS}|e\s)")
-        return F.when(listed, bullet_paragraphs(p)).when(short, F.filter(lines, lambda x: F.trim(x) != "")).otherwise(F.array(F.translate(p, "\n", " ")))
+        listed = strip(p).rlike(rf"^(?:{_BULLETS}|e\s)")
+        return F.when(listed, bullet_paragraphs(p)).when(short, F.filter(lines, lambda x: x.rlike(r"\S"))).otherwise(F.array(F.translate(p, "\n", " ")))
 
-    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.translate(p, "\n", " ")) != "")
+    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
     return F.array_join(F.flatten(F.transform(paragraphs, each)), "\n\n")
 
 
 def line_paragraphs(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), "\n\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S")), "\n\n")
 
 
 def blank_ratio(text: Column, most: int = 2000) -> Column:
     lines = F.slice(F.split(text, "\n"), 1, most)
-    return F.size(F.filter(lines, lambda x: F.trim(x) == "")) / F.size(lines)
+    return F.size(F.filter(lines, lambda x: ~x.rlike(r"\S"))) / F.size(lines)
 
 
 def auto_paragraphs(text: Column, threshold: float = 0.1) -> Column:

@@ -150,9 +150,9 @@ _WS = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"
 _LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{_WS}', ' ', 'g'))), lambda x: x <> '')"
 
 
-@query(rf"""SELECT doc_id, array_to_string({_LINES}, chr(10)) AS whitespace, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)-\n([\p{{L}}\p{{N}}_]+)', '\1\2', 'g') AS dehyphenated, trim(translate(text, '-–—', '   ')) AS dashes,
- regexp_replace(trim(text), '[.,:;]+$', '') AS trailing, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10) || chr(10)) AS paragraphs,
- round(len(list_filter(string_split(text, chr(10))[:2000], lambda x: trim(x) = ''))::DOUBLE / len(string_split(text, chr(10))[:2000]), 6) AS blank_ratio FROM documents WHERE text IS NOT NULL""")
+@query(rf"""SELECT doc_id, array_to_string({_LINES}, chr(10)) AS whitespace, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)-\n([\p{{L}}\p{{N}}_]+)', '\1\2', 'g') AS dehyphenated, regexp_replace(translate(text, '-–—', '   '), '^\s+|\s+$', '', 'g') AS dashes,
+ regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.,:;]+$', '') AS trailing, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10) || chr(10)) AS paragraphs,
+ round(len(list_filter(string_split(text, chr(10))[:2000], lambda x: NOT regexp_matches(x, '\S')))::DOUBLE / len(string_split(text, chr(10))[:2000]), 6) AS blank_ratio FROM documents WHERE text IS NOT NULL""")
 def t01_document_cleaners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitespace, hyphens, dashes, trailing marks, line paragraphs and blank ratio of whole texts."""
     t = F.col("text")
