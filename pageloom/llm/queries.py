@@ -35,6 +35,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_line_dedup"] = op4_line_dedup
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+ORACLE["op4_line_dedup"] = rf"""
+WITH l AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL
+), s AS (
+    SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(translate(line, '{_CAPITALS}', '{"".join(chr(ord(c) + 32) for c in _CAPITALS)}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'))) AS ws FROM l
+), d AS (
+    SELECT ws, len(ws) AS n, row_number() OVER () AS id, min((doc_id, line_no)) AS at FROM s WHERE len(ws) > 0 GROUP BY ws
+), t AS (SELECT id, n, unnest(ws) AS w FROM d), df AS (SELECT w, count(*) AS c FROM t GROUP BY w
+), p AS (SELECT id, w FROM (SELECT id, w, n, row_number() OVER (PARTITION BY id ORDER BY c, w) AS k FROM t JOIN df USING (w)) WHERE k <= n - (4 * n + 4) // 5 + 1
+), c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND a.id < b.id
+), later AS (
+    SELECT CASE WHEN x.at < y.at THEN y.id ELSE x.id END AS id FROM c JOIN d x ON x.id = c.a JOIN d y ON y.id = c.b
+    WHERE 9 * len(list_intersect(x.ws, y.ws)) >= 4 * (x.n + y.n)
+)
+SELECT s.doc_id, s.line_no FROM s JOIN d ON s.ws = d.ws WHERE d.id IN (SELECT id FROM later) OR (s.doc_id, s.line_no) <> d.at
+"""
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
