@@ -37,6 +37,7 @@ THRESHOLD = Fraction(4, 5)
 BUCKETS, RARE, BEST = 22, 1024, 8
 _PAIRS = 1 << 19
 _LAST = (1 << 63) - 1
+_PARITY = ("p0", "p1", "p2", "p3")
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -284,7 +285,7 @@ def _filter(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
 
 
 def word_sets(docs: DataFrame, code: np.ndarray, wanted: tuple[np.ndarray, int]) -> DataFrame:
-    """sid, words: the sets that pass the filter, once each."""
+    """sid, words and 256 parity bits p0..p3: the sets that pass the filter, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,16 +298,29 @@ def word_sets(docs: DataFrame, code: np.ndarray, wanted: tuple[np.ndarray, int])
                 start = np.cumsum(sizes) - sizes
                 at = np.repeat(bounds[:-1][pick] - start, sizes) + np.arange(sizes.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[start, sizes.sum()].astype(np.int32)), pa.array(h[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sid[pick]), lists], names=["sid", "words"])
+                spot = h[at] & np.uint64(255)
+                masks = []
+                for w in range(4 if len(pick) else 0):
+                    bit = np.where(spot >> np.uint64(6) == w, np.uint64(1) << (spot & np.uint64(63)), np.uint64(0))
+                    masks.append(pa.array(np.bitwise_xor.reduceat(bit, start).view(np.int64)))
+                if masks:
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[pick]), lists, *masks], names=["sid", "words", *_PARITY])
 
-    return narrow(docs, "text").mapInArrow(run, "sid long, words array<long>").dropDuplicates(["sid"])
+    return narrow(docs, "text").mapInArrow(run, "sid long, words array<long>, p0 long, p1 long, p2 long, p3 long").dropDuplicates(["sid"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, code: np.ndarray, t: Fraction) -> DataFrame:
     """The later sets of the pairs (later, earlier) whose whole word sets are similar enough."""
     ids = pairs.select(F.explode(F.array("later", "earlier")).alias("sid"))
     sets = cut(word_sets(docs, code, _filter(ids, 2 * pairs.count())), "sets")
-    left, right = sets.toDF("later", "wa"), sets.toDF("earlier", "wb")
+    # most pairs that don't match fall by their parity bits, so the words travel for few
+    size = F.size("words").alias("size")
+    a = sets.select(F.col("sid").alias("later"), size.alias("na"), *[F.col(c).alias(f"a{c}") for c in _PARITY])
+    b = sets.select(F.col("sid").alias("earlier"), size.alias("nb"), *[F.col(c).alias(f"b{c}") for c in _PARITY])
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _PARITY), F.lit(0))
+    near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
+    pairs = pairs.join(a, "later").join(b, "earlier").where(near).select("later", "earlier")
+    left, right = sets.select("sid", "words").toDF("later", "wa"), sets.select("sid", "words").toDF("earlier", "wb")
     both = F.size(F.array_intersect("wa", "wb")) * (t.numerator + t.denominator)
     return pairs.join(left, "later").join(right, "earlier").where(both >= (F.size("wa") + F.size("wb")) * t.numerator).select("later").distinct()
 
