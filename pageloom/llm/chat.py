@@ -2,8 +2,8 @@
 
 Messages of a conversation form trees. A column ``parent_turn`` names the message replied to; where the
 table has none, a message replies to the latest earlier message of another role, so that several messages
-of one role in a row are alternative replies. Iterative self-joins walk from the roots to the leaves over
-ids only; each round is written to the shared folder. Branches are ranked by score within a conversation
+of one role in a row are alternative replies. Iterative self-joins build the paths from the roots to the
+leaves over ids only; each round is written to the shared folder. Branches are ranked by score within a conversation
 (the sum of the messages' ``score``, or else of the characters of the assistant's messages; ties: the longer
 path, then the smaller leaf turn), and each of the best ``branches`` is formatted as one conversation.
 
@@ -15,8 +15,6 @@ from no root and left out; an empty table gives an empty table; other columns ar
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,18 +43,23 @@ def messages(table: DataFrame) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """conv_id, turn, path, score: every root-to-leaf path, as the turns on it."""
+    """conv_id, turn, path, score: every root-to-leaf path, as the turns on it.
+
+    Each message holds the stretch of path that ends in it and the message above that stretch. A self-join
+    puts the stretch of that message in front, so stretches double and the rounds are logarithmic in the
+    depth. What no further round resolves hangs on a cycle.
+    """
     edges = cut(nodes.select("conv_id", "turn", "parent", "score"), "edges")
+    there = edges.select("conv_id", F.col("turn").alias("parent"), F.lit(True).alias("found"))
+    up = F.when(F.col("found"), F.col("parent"))
+    state = cut(edges.join(there, ["conv_id", "parent"], "left").select("conv_id", "turn", up.alias("up"), F.array("turn").alias("path"), "score"), "stretches")
+    left = None
+    while (now := state.where("up is not null").count()) not in (0, left):
+        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("score").alias("more"))
+        longer = state.where("up is not null").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("more") + F.col("score")).alias("score"))
+        state, left = cut(state.where("up is null").unionByName(longer), "stretches"), now
     parents = edges.select("conv_id", F.col("parent").alias("turn")).distinct()
-    there = edges.select("conv_id", F.col("turn").alias("parent"))
-    roots = edges.join(there, ["conv_id", "parent"], "left_anti")
-    front = cut(roots.select("conv_id", "turn", F.array("turn").alias("path"), "score"), "front")
-    child = edges.select("conv_id", F.col("turn").alias("child"), F.col("parent").alias("turn"), F.col("score").alias("more"))
-    rounds = [front]
-    while not front.isEmpty():
-        front = cut(front.join(child, ["conv_id", "turn"]).select("conv_id", F.col("child").alias("turn"), F.concat("path", F.array("child")).alias("path"), (F.col("score") + F.col("more")).alias("score")), "front")
-        rounds.append(front)
-    return reduce(DataFrame.unionByName, rounds).join(parents, ["conv_id", "turn"], "left_anti")
+    return state.where("up is null").drop("up").join(parents, ["conv_id", "turn"], "left_anti")
 
 
 def format_conversations(table: DataFrame, branches: int = BRANCHES) -> DataFrame:
