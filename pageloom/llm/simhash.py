@@ -4,8 +4,10 @@ A document's signature has 256 bits, the signs of the sums over its distinct wor
 word has that word). Documents of equal signature are one node. Two nodes within ``radius`` bits are near
 copies, and groups are the connected components of that relation.
 
-Search: in each of ``tables`` tables a node goes to the shard named by some sampled bits of its signature,
-so that a shard holds about ``shard`` nodes at any corpus size. A shard builds a navigable small-world
+Search: in each of a number of tables a node goes to the shard named by some sampled bits of its signature,
+so that a shard holds about ``shard`` nodes at any corpus size. More nodes need more bits, which a pair
+shares less often, so the number of tables grows with the bits: a pair at the radius is found with
+probability ``MEET`` at any count (``table_count``). A shard builds a navigable small-world
 graph of its nodes and takes every one of them as a query, with beams that expand while they are full of
 hits (see ``smallworld``). A query is sent to all shards that can be expected to hold its neighbours, one
 of each table, instead of to every shard there is: that would cost shards times documents. All edges are
@@ -31,6 +33,9 @@ from . import smallworld, vec
 from .common import components, cut, narrow, positional, row_key
 
 RADIUS, TABLES, SHARD = 60, 8, 4096
+#: the least probability that a pair at the radius is found, and the share that one shard's graph finds of
+#: the pairs at the radius that meet in it (simulated lone pairs among SHARD nodes)
+MEET, FOUND = 0.95, 0.75
 _SIGNS = ("s0", "s1", "s2", "s3")
 _LANES = np.uint64(0x0001000100010001)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -105,16 +110,28 @@ def _shards(bits: int, tables: int) -> Column:
     return F.array(*out)
 
 
-def near_edges(nodes: DataFrame, count: int, radius: int = RADIUS, tables: int = TABLES, shard: int = SHARD) -> DataFrame:
+def meeting(bits: int, distance: int) -> float:
+    """The probability that no sampled bit is one in which two signatures at this distance differ."""
+    return math.prod(max(0, 256 - distance - i) / (256 - i) for i in range(bits))
+
+
+def table_count(bits: int, radius: int = RADIUS) -> int:
+    """The tables after which a pair at the radius is missed in all with probability 1 - MEET; TABLES at least."""
+    return max(TABLES, math.ceil(math.log(1 - MEET) / math.log(1 - FOUND * meeting(bits, radius))))
+
+
+def near_edges(nodes: DataFrame, count: int, radius: int = RADIUS, tables: int | None = None, shard: int = SHARD) -> DataFrame:
     """Verified edges (a, b) between the nodes: of each shard a spanning forest of its groups."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / shard)))
+    tables = tables or table_count(bits, radius)
 
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         o = np.argsort(node, kind="stable")
         node = node[o]
         sig = np.stack([table.column(s).to_numpy()[o] for s in _SIGNS], axis=1).view(np.uint64)
-        root = smallworld.neighbours(sig, radius).all()
+        seed = table.column("t")[0].as_py()  # tables whose shards are alike search different graphs
+        root = smallworld.neighbours(sig, radius, seed).all()
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[tied], "b": node[root[tied]]})
 
@@ -122,7 +139,7 @@ def near_edges(nodes: DataFrame, count: int, radius: int = RADIUS, tables: int =
     return routed.groupBy("t", "shard").applyInArrow(run, "a long, b long")
 
 
-def members(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, shard: int = SHARD) -> DataFrame:
+def members(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, shard: int = SHARD) -> DataFrame:
     """doc_id, key, group: every document with words, under its group's number."""
     rows = cut(signatures(docs).withColumn("node", F.xxhash64(*_SIGNS)), "signatures")
     nodes = cut(rows.select("node", *_SIGNS).distinct(), "nodes")

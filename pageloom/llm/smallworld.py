@@ -139,7 +139,7 @@ class Groups:
         return self.up
 
 
-def neighbours(sig: np.ndarray, radius: int) -> Groups:
+def neighbours(sig: np.ndarray, radius: int, seed: int = 7) -> Groups:
     """Groups of the nodes within ``radius`` of each other, every node being a query.
 
     A query starts at its own links. Where its whole beam lies within the radius there may be more to
@@ -150,7 +150,7 @@ def neighbours(sig: np.ndarray, radius: int) -> Groups:
     groups = Groups(n)
     if n < 2:
         return groups
-    graph = Graph(sig)
+    graph = Graph(sig, seed)
     reach = graph.links
     hit = (graph.far <= radius) & (reach >= 0)
     r, c = np.nonzero(hit)
