@@ -12,6 +12,7 @@ import numpy as np
 WIDTH, BEAM, STEP, LONG, FIRST = 16, 24, 4, 4, 48
 _FAR = np.int64(1 << 20)
 _VISITS = 1 << 25
+_PAIRS = 1 << 20
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,8 +144,9 @@ def neighbours(sig: np.ndarray, radius: int, seed: int = 7) -> Groups:
     """Groups of the nodes within ``radius`` of each other, every node being a query.
 
     A query starts at its own links. Where its whole beam lies within the radius there may be more to
-    find, so the beam doubles until it holds a miss, or until doubling brings no hit from outside the
-    group that the query already belongs to.
+    find, so the beam doubles until it holds a miss. Where doubling brings no hit from outside the group that
+    the query already belongs to, the beam is crowded by that group, and the query is compared with all nodes
+    outside it instead.
     """
     n = len(sig)
     groups = Groups(n)
@@ -155,7 +157,7 @@ def neighbours(sig: np.ndarray, radius: int, seed: int = 7) -> Groups:
     hit = (graph.far <= radius) & (reach >= 0)
     r, c = np.nonzero(hit)
     groups.union(r, reach[r, c])
-    q, beam = np.arange(n), BEAM // 2
+    q, beam, crowded = np.arange(n), BEAM // 2, []
     start = np.concatenate([graph.links, graph.back], axis=1)
     while len(q):
         found, dist = graph.search(q, start[q], min(beam, n))
@@ -166,13 +168,28 @@ def neighbours(sig: np.ndarray, radius: int, seed: int = 7) -> Groups:
         groups.union(q[r], found[r, c])
         full = dist[:, -1] <= radius
         if beam > BEAM // 2:
+            crowded.append(q[full & ~grew])
             full &= grew
         q, beam = q[full], beam * 2
-        if beam >= 2 * n:
-            break
+    _outside(sig, radius, groups, np.concatenate([q[:0], *crowded]))
     return groups
 
 
+def _outside(sig: np.ndarray, radius: int, groups: Groups, q: np.ndarray) -> None:
+    """Union each query with all nodes within the radius that its group doesn't hold yet."""
+    q = q[np.argsort(groups.roots(q), kind="stable")]
+    at, block = 0, max(1, _PAIRS // len(sig))
+    while at < len(q):
+        root = groups.all()
+        own = root[q[at]]
+        some = q[at : at + block]
+        some = some[np.cumprod(root[some] == own).astype(bool)]
+        others = np.flatnonzero(root != own)
+        r, c = np.nonzero(hamming(sig[some][:, None], sig[others][None]) <= radius)
+        groups.union(some[r], others[c])
+        at += len(some)
+
+
 def exact_pairs(sig: np.ndarray, radius: int) -> np.ndarray:
     """All pairs i < j within the radius, by comparing every two; what recall is audited against."""
     out = []

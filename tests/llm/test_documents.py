@@ -143,6 +143,19 @@ def test_small_world_recall(seed):
     assert (whole[root] == whole).all()  # nothing is grouped that isn't connected
 
 
+@pytest.mark.parametrize("sizes", [(50, 50), (50, 70, 90)])
+def test_crowds_that_fill_each_beam_are_joined(sizes):
+    r = np.random.default_rng(8)
+    flipped = lambda s, bits: s ^ np.packbits(np.bincount(r.permutation(256)[:bits], minlength=256).astype(np.uint8)).view(np.uint64)
+    heart, sig = r.integers(0, 2**63, 4, dtype=np.int64).view(np.uint64), []
+    for size in sizes:  # members lie 10 bits apart, and 40 or so from those of the family before
+        sig += [flipped(heart, 5) for _ in range(size)]
+        heart = flipped(heart, 32)
+    far = r.integers(0, 2**63, (5, 4), dtype=np.int64).view(np.uint64)
+    root = smallworld.neighbours(np.concatenate([np.stack(sig), far]), simhash.RADIUS).all()
+    assert len(set(root[: sum(sizes)])) == 1 and len(set(root)) == 6
+
+
 def test_signature_against_plain_python():
     texts = [prose(5, 40), "two words", "one", "", None, "a b " * 70000]
     sig, count = simhash.signature(pa.array(texts))
