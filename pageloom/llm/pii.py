@@ -4,7 +4,9 @@ A value is found by its shape, validated (Luhn and IBAN check digits, SSN and oc
 and replaced by the image of a keyed Feistel permutation within its own format. Separators, lengths and
 check digits stay right, so the pseudonym is again a valid value of the same kind; equal values have equal
 pseudonyms in all documents, however they are punctuated, and different values have different ones. With
-the key ``restore`` inverts the replacement.
+the key ``restore`` inverts the replacement. Where several numbers stand a blank or hyphen apart, cards in
+one group or grouped as printed are read first; other readings rest on check digits alone, so there a
+pseudonym may by chance read as another span, and ``restore`` then isn't exact.
 
 Kinds: card (13 to 19 digits, Luhn), iban, ssn, phone (international, country code kept), ipv4, email (the
 domain stays, the local part is permuted), date (yyyy-mm-dd, d.m.yyyy, m/d/yyyy and, where the first number
@@ -41,8 +43,33 @@ _SHAPES = re.compile(
     r"|(?<![\d/])(?P<slash>\d{1,2}/\d{1,2}/\d{4})(?!/?\d)"
     r"|(?<![\d+])(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\d)"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?!-?\d)"
-    r"|(?<!\d)(?P<card>\d(?:[ -]?\d){12,18})(?![ -]?\d)"
+    r"|(?<!\d)(?P<card>\d(?:[ -]?\d){12,18})"
 )
+_RUN = re.compile(r"\d+(?:[ -]\d+)*")
+_GROUP = re.compile(r"\+?[A-Za-z0-9]+")
+#: how cards are grouped when printed; a number so written is a card before other readings are tried
+_PRINTED = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN = {c: n for n, names in _LENGTHS.items() for c in names.split()}
 _FIRST = date(1900, 1, 1).toordinal()
 _DAYS = date(2099, 12, 31).toordinal() - _FIRST + 1
 
@@ -100,6 +127,52 @@ def luhn(xs: list[int]) -> bool:
     return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(xs))) % 10 == 0
 
 
+def _card(xs: list[int]) -> bool:
+    return luhn(xs) and len(set(xs)) > 1
+
+
+def _cards(run: str) -> dict[int, int]:
+    """Start and end of the cards in a run of digit groups, each of whole groups.
+
+    First the groups that are printed as cards are, or that are one by themselves; then, between them and
+    from left to right, the longest valid number from each group on.
+    """
+    at = [m.span() for m in re.finditer(r"\d+", run)]
+    sizes, taken, out = [b - a for a, b in at], [False] * len(at), {}
+
+    def take(i: int, k: int) -> bool:
+        a, b = at[i][0], at[i + k - 1][1]
+        if any(taken[i : i + k]) or not _card([int(x) for x in run[a:b] if x.isdigit()]):
+            return False
+        taken[i : i + k] = [True] * k
+        out[a] = b
+        return True
+
+    for i, n in enumerate(sizes):
+        if not (13 <= n <= 19 and take(i, 1)):
+            any(sizes[i : i + len(p)] == p and take(i, len(p)) for p in _PRINTED)
+    for i in range(len(at)):
+        fits, total = [], 0
+        for k, n in enumerate(sizes[i : i + 19], 1):
+            total += n
+            if total > 19 or taken[i + k - 1]:
+                break
+            if total >= 13:
+                fits.append(k)
+        any(take(i, k) for k in reversed(fits))
+    return out
+
+
+def _iban(text: str, start: int, end: int) -> int:
+    """The end of the IBAN at ``start``, of its country's length or else the longest valid one; -1 if there is none."""
+    ends = [k for k in range(end, start, -1) if text[k - 1].isalnum() and not text[k : k + 1].isalnum()]
+    for k in ends:
+        flat = text[start:k].replace(" ", "")
+        if len(flat) == _IBAN.get(flat[:2], len(flat)) and 15 <= len(flat) <= 34 and 2 <= int(flat[2:4]) <= 98 and _mod97(flat) == 1:
+            return k
+    return -1
+
+
 def _fill(shape: str, chars: list[str]) -> str:
     """The shape with its letters and digits replaced in turn."""
     it = iter(chars)
@@ -126,7 +199,7 @@ def pseudonym(kind: str, s: str, c: Cipher) -> str | None:
     """The pseudonym of a value of this shape; None if it isn't valid."""
     xs = [int(x) for x in s if x.isdigit()]
     if kind == "card":
-        if not luhn(xs) or len(set(xs)) == 1:
+        if not _card(xs):
             return None
         head = c.symbols(xs[:-1], 10, "card")
         while len(set(head)) == 1 and luhn(head + head[:1]):
@@ -196,15 +269,26 @@ def pseudonym(kind: str, s: str, c: Cipher) -> str | None:
 def rewrite(text: str, c: Cipher) -> tuple[str, list[str]]:
     """The text with pseudonyms, and the kinds replaced in order."""
     kinds: list[str] = []
-
-    def one(m: re.Match) -> str:
-        new = pseudonym(m.lastgroup, m.group(), c)
-        if new is None:
-            return m.group()
-        kinds.append(m.lastgroup)
-        return new
-
-    return _SHAPES.sub(one, text), kinds
+    out, done, at, cards, known = [], 0, 0, {}, 0
+    while m := _SHAPES.search(text, at):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "card":
+            if start >= known:
+                run = _RUN.match(text, start)
+                cards, known = {start + a: start + b for a, b in _cards(run.group()).items()}, run.end()
+            end = cards.get(start, -1)
+        elif kind == "iban":
+            end = _iban(text, start, end)
+        new = pseudonym(kind, text[start:end], c) if end >= 0 else None
+        if new is not None:
+            kinds.append(kind)
+            out += [text[done:start], new]
+            done = at = end
+        elif kind in ("card", "iban", "phone"):  # what follows the first group may be a value
+            at = _GROUP.match(text, start).end()
+        else:
+            at = end
+    return "".join([*out, text[done:]]), kinds
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> DataFrame:
