@@ -5,6 +5,7 @@ import heapq
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -222,6 +223,20 @@ def test_license_scan(spark, odd, empty):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
 
 
+def plain(name):
+    markup = re.sub(r"<<opt>>.*?<<end>>", "", licenses.TEMPLATES[name])
+    return re.sub(r"<<var:[^>]*>>", "the holder", markup)
+
+
+def test_license_texts_need_their_last_words():
+    hashes = lambda s: [licenses._hash(w) for w in licenses.vec.word_list(s)]
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        m, words = licenses.Automaton(licenses.TEMPLATES[name]), hashes(plain(name))
+        assert m.longest(words, 0) == len(words) and m.longest(words[:-1], 0) == -1
+    assert plain("ISC").endswith("PERFORMANCE OF THIS SOFTWARE") and plain("BSD-2-Clause").endswith("POSSIBILITY OF SUCH DAMAGE")
+    assert licenses.Automaton(licenses.TEMPLATES["BSD-2-Clause"]).longest(hashes(plain("BSD-3-Clause")), 0) == -1
+
+
 def conv(spark, rows, columns="conv_id long, turn long, role string, text string"):
     return spark.createDataFrame(rows, columns)
 
