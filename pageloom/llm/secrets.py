@@ -7,8 +7,10 @@ the structure of a secret:
 * ``pkcs1_key``, ``pkcs8_key``, ``ec_key``: DER whose nested lengths fill the bytes exactly, with the
   fields of that private key (armoured blocks are joined over their lines first);
 * ``openssh_key``: the magic, then length-prefixed fields that nest to the end;
-* ``assigned_key``: raw bytes of a usual key length, assigned to a name such as token, secret or api_key,
-  and not of one repeated pattern (at least as many different bytes as half the length, 16 at most).
+* ``assigned_key``: 16 to 64 raw bytes, assigned to a name such as token, secret or api_key, and not of one
+  repeated pattern (at least as many different bytes as half the length, 16 at most). Base64 has a digit, +,
+  / or padding, and where the length isn't a usual one for keys a digit and letters of both cases, so that
+  words and identifiers aren't taken for keys.
 
 Defined cases: null and empty texts hold nothing; rows are scanned one by one, whole, whatever their length;
 null ids are carried; the same secret in repeated rows or places is reported each time; an empty table gives
@@ -34,7 +36,7 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.(ey[A-Za-z0-9_-]+)\
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\w.-]*[\"']?\s*(?:=|:|=>)\s*[\"']?$")
-_LENGTHS = (16, 20, 24, 32, 48, 64)
+_LENGTHS, _LEAST, _MOST = (16, 20, 24, 32, 48, 64), 16, 64
 
 
 def _der(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -124,7 +126,14 @@ def _structure(b: bytes | None) -> str | None:
 
 
 def _raw(b: bytes | None) -> bool:
-    return b is not None and len(b) in _LENGTHS and len(set(b)) >= min(16, len(b) // 2)
+    return b is not None and _LEAST <= len(b) <= _MOST and len(set(b)) >= min(16, len(b) // 2)
+
+
+def _mixed(s: str, size: int) -> bool:
+    """Whether base64 of so many bytes looks drawn at random and not like a word or an identifier."""
+    if size in _LENGTHS:
+        return any(c.isdigit() or c in "+/=" for c in s)
+    return all(any(test(c) for c in s) for test in (str.isdigit, str.isupper, str.islower))
 
 
 def scan(text: str) -> list[tuple[int, str, str]]:
@@ -150,7 +159,7 @@ def scan(text: str) -> list[tuple[int, str, str]]:
         s, hexes = m.group(), _HEX.fullmatch(m.group())
         b = bytes.fromhex(s) if hexes else _decoded(s)
         kind = _structure(b)
-        if kind is None and _raw(b) and (hexes or any(c.isdigit() for c in s)) and _NAMED.search(text, max(0, m.start() - 64), m.start()):
+        if kind is None and _raw(b) and (hexes or _mixed(s, len(b))) and _NAMED.search(text, max(0, m.start() - 64), m.start()):
             kind = "assigned_key"
         if kind:
             out.append((m.start(), kind, s))

@@ -127,6 +127,22 @@ def test_raw_keys_need_a_name_and_variety():
     assert secrets.scan(f"commit {key}") == [] and secrets.scan('token = "' + "ab" * 20 + '"') == []
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 1),
+        (f"api_key: {bytes(range(100, 118)).hex()}", 1),
+        ("secret = " + b64(bytes(range(150, 214))[:56]), 1),
+        ("secret = AbCdEfGhIjKlMnOpQrStUv==", 1),
+        ("password = config_database_password_1", 0),
+        ("token = averylongnameofanothervariable", 0),
+        ("digest = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 0),
+    ],
+)
+def test_named_keys_of_any_length(text, found):
+    assert [f[1] for f in secrets.scan(text)] == ["assigned_key"] * found
+
+
 def test_secrets_of_odd_tables(spark, odd, empty):
     assert secrets.secret_scan(odd).count() == 0 and secrets.secret_scan(empty).count() == 0
     key = f'secret: "{bytes(range(60, 92)).hex()}"'
