@@ -210,7 +210,14 @@ def _listed(spark: SparkSession, sf_dir: str, name: str = "LIST_ITEM") -> DataFr
 
 def _running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the page numbers, which would always be a page's last block."""
-    return _listed(spark, sf_dir).where("seq % 2 = 0")
+    return _without_folios(_listed(spark, sf_dir))
+
+
+def _without_folios(blocks: DataFrame) -> DataFrame:
+    """By text and place, since ``seq`` is only an order. The layout of the tables gives them odd numbers, as the SQL says."""
+    centred = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2) < F.col("page_width") * 0.15
+    folio = centred & (F.col("y0") > F.col("page_height") * 0.85) & F.trim("text").rlike(r"^\d{1,5}$")
+    return blocks.where(~F.coalesce(folio, F.lit(False)))
 
 
 _LISTED = TOKENS + f", li AS (SELECT *, CASE WHEN {list_item_sql()} THEN 'LIST_ITEM' ELSE 'TEXT' END AS element_type FROM tk)"

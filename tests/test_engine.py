@@ -238,3 +238,11 @@ def test_repartitioning_changes_nothing(spark):
     one = sorted(map(tuple, grouping.list_groups(b.coalesce(1)).select("page_number", "seq", "list_group_id").collect()))
     assert one == sorted(map(tuple, grouping.list_groups(b.repartition(5)).select("page_number", "seq", "list_group_id").collect()))
     assert pd.DataFrame(one)[2].nunique() == 2
+
+
+def test_running_text_is_all_but_page_numbers(spark):
+    from pageloom.plans import elements
+
+    rows = [(k, t, x, y, x + 40.0, y + 12.0, 612.0, 792.0) for k, (t, x, y) in enumerate([("one", 72.0, 72.0), ("two", 72.0, 102.0), ("1987", 290.0, 132.0), (None, 290.0, 760.0), ("12", 72.0, 760.0), ("12", 290.0, 766.0)])]
+    blocks = spark.createDataFrame(rows, "seq long, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    assert sorted(r.seq for r in elements._without_folios(blocks).collect()) == [0, 1, 2, 3, 4]
