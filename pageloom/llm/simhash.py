@@ -4,14 +4,15 @@ A document's signature has 256 bits, the signs of the sums over its distinct wor
 word has that word). Documents of equal signature are one node. Two nodes within ``radius`` bits are near
 copies, and groups are the connected components of that relation.
 
-Search: in each of a number of tables a node goes to the shard named by some sampled bits of its signature,
-so that a shard holds about ``shard`` nodes at any corpus size. More nodes need more bits, which a pair
-shares less often, so the number of tables grows with the bits: a pair at the radius is found with
-probability ``MEET`` at any count (``table_count``). A shard builds a navigable small-world
-graph of its nodes and takes every one of them as a query, with beams that expand while they are full of
-hits (see ``smallworld``). A query is sent to all shards that can be expected to hold its neighbours, one
-of each table, instead of to every shard there is: that would cost shards times documents. All edges are
-verified by their exact Hamming distance. ``recall_audit`` compares the groups with exact search.
+Search: each of a number of tables orders all nodes by drawn bits of their signatures and cuts that order
+into ranges of about ``SHARD`` nodes, the shards, so that no shard is large, however the signatures lie. A
+shard builds a navigable small-world graph of its nodes and takes every one of them as a query, with beams
+that expand while they are full of hits (see ``smallworld``). A query is sent to the shards that can be
+expected to hold its neighbours, one of each table, instead of to every shard there is: that would cost
+shards times documents. A pair at the radius falls into one shard the less often the more nodes there are,
+so the number of tables grows with their count: the pair is found with probability ``MEET`` at any count
+(``table_count``). All edges are verified by their exact Hamming distance. ``recall_audit`` compares the
+groups with exact search.
 
 Defined cases: a null or empty text, or one without words, belongs to no group and is kept. Repeated rows
 and equal texts have equal signatures and form a group. Of a group the row with the least doc_id stays
@@ -26,16 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import smallworld, vec
 from .common import components, cut, narrow, positional, row_key
 
-RADIUS, TABLES, SHARD = 60, 8, 4096
-#: the least probability that a pair at the radius is found, and the share that one shard's graph finds of
-#: the pairs at the radius that meet in it (simulated lone pairs among SHARD nodes)
-MEET, FOUND = 0.95, 0.75
+RADIUS, SHARD = 60, 1 << 18
+#: the probability aimed at that a pair at the radius is found; borders that lie unevenly take a little of it
+MEET = 0.97
 _SIGNS = ("s0", "s1", "s2", "s3")
 _LANES = np.uint64(0x0001000100010001)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -97,46 +97,52 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, key long, s0 long, s1 long, s2 long, s3 long")
 
 
-def _shards(bits: int, tables: int) -> Column:
-    """One struct for each table: its number and the sampled bits of the signature."""
-    rng = np.random.default_rng(11)
-    out = []
-    for t in range(tables):
-        picked = rng.permutation(256)[:bits]
-        key = F.lit(0).cast("long")
-        for n, b in enumerate(picked):
-            key = key + F.shiftleft(F.shiftrightunsigned(F.col(_SIGNS[b // 64]), int(b % 64)).bitwiseAND(F.lit(1).cast("long")), n)
-        out.append(F.struct(F.lit(t).alias("t"), key.alias("shard")))
-    return F.array(*out)
-
+def meeting(count: int, radius: int = RADIUS, shard: int = SHARD) -> float:
+    """The probability that a pair at the radius falls into one shard of a table.
 
-def meeting(bits: int, distance: int) -> float:
-    """The probability that no sampled bit is one in which two signatures at this distance differ."""
-    return math.prod(max(0, 256 - distance - i) / (256 - i) for i in range(bits))
+    Signatures that agree in the first k drawn bits and differ in the next stand about count / 2^(k+1) places
+    apart, and a range's border falls between them with that probability times 1 / shard.
+    """
+    if count <= shard:
+        return 1.0
+    agree = [smallworld.agreeing(k, radius) for k in range(65)]
+    return sum((agree[k] - agree[k + 1]) * max(0.0, 1 - count / shard / 2 ** (k + 1)) for k in range(64)) + agree[64]
 
 
-def table_count(bits: int, radius: int = RADIUS) -> int:
-    """The tables after which a pair at the radius is missed in all with probability 1 - MEET; TABLES at least."""
-    return max(TABLES, math.ceil(math.log(1 - MEET) / math.log(1 - FOUND * meeting(bits, radius))))
+def table_count(count: int, radius: int = RADIUS, shard: int = SHARD) -> int:
+    """The tables after which a pair at the radius is missed in all with probability 1 - MEET; two at least."""
+    return max(2, math.ceil(math.log(1 - MEET) / math.log(1 - smallworld.FOUND * meeting(count, radius, shard))))
 
 
 def near_edges(nodes: DataFrame, count: int, radius: int = RADIUS, tables: int | None = None, shard: int = SHARD) -> DataFrame:
     """Verified edges (a, b) between the nodes: of each shard a spanning forest of its groups."""
-    bits = max(0, math.ceil(math.log2(max(count, 1) / shard)))
-    tables = tables or table_count(bits, radius)
-
-    def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        o = np.argsort(node, kind="stable")
-        node = node[o]
-        sig = np.stack([table.column(s).to_numpy()[o] for s in _SIGNS], axis=1).view(np.uint64)
-        seed = table.column("t")[0].as_py()  # tables whose shards are alike search different graphs
-        root = smallworld.neighbours(sig, radius, seed).all()
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": node[tied], "b": node[root[tied]]})
-
-    routed = nodes.withColumn("at", F.explode(_shards(bits, tables))).select("at.t", "at.shard", "node", *_SIGNS)
-    return routed.groupBy("t", "shard").applyInArrow(run, "a long, b long")
+    tables = tables or table_count(count, radius, shard)
+    rng = np.random.default_rng(11)
+    picks = [rng.permutation(256)[:63] for _ in range(tables)]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.stack([b.column(k).to_numpy() for k in range(1, 5)], axis=1).view(np.uint64)
+            for t, at in enumerate(smallworld.places(sig, picks)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), t, np.int32)), pa.array(at.view(np.int64)), *b.columns], names=["t", "place", "node", *_SIGNS])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        t, node = table.column("t").to_numpy(), table.column("node").to_numpy()
+        sig = np.stack([table.column(s).to_numpy() for s in _SIGNS], axis=1).view(np.uint64)
+        for k in np.unique(t):  # a range may hold the end of one table and the start of the next
+            o = np.flatnonzero(t == k)
+            o = o[np.argsort(node[o], kind="stable")]
+            root = smallworld.neighbours(sig[o], radius, int(k)).all()
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[o[tied]]), pa.array(node[o[root[tied]]])], names=["a", "b"])
+
+    routed = nodes.select("node", *_SIGNS).mapInArrow(route, "t int, place long, node long, s0 long, s1 long, s2 long, s3 long")
+    shards = tables * max(1, math.ceil(count / shard))
+    return routed.repartitionByRange(shards, "t", "place", "node").mapInArrow(search, "a long, b long")
 
 
 def members(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, shard: int = SHARD) -> DataFrame:

@@ -190,17 +190,37 @@ def test_pairs_at_the_radius_meet_at_any_count(spark):
     a = r.integers(-(2**63), 2**63, (100, 4), dtype=np.int64).view(np.uint64)
     b = a ^ np.packbits(r.permuted(np.repeat([[1] * simhash.RADIUS + [0] * (256 - simhash.RADIUS)], 100, axis=0), axis=1).astype(np.uint8), axis=1).view(np.uint64)
     nodes = spark.createDataFrame([(k, *map(int, s.view(np.int64))) for k, s in enumerate(np.concatenate([a, b]))], "node long, s0 long, s1 long, s2 long, s3 long")
-    # the bits of 12 million nodes; shards of so few lose nothing else
-    found = {(x.a % 100, x.b % 100) for x in simhash.near_edges(nodes, 12_000_000).collect()}
+    # sixteen shards in a table, as 4 million nodes have
+    found = {(x.a % 100, x.b % 100) for x in simhash.near_edges(nodes, 200, shard=12).collect()}
     assert all(x == y for x, y in found) and len(found) >= 0.95 * 100
 
 
-@pytest.mark.parametrize("bits", [0, 4, 6, 12, 16])
-def test_tables_follow_the_bits(bits):
-    missed = (1 - simhash.FOUND * simhash.meeting(bits, simhash.RADIUS)) ** simhash.table_count(bits)
+@pytest.mark.parametrize("count", [0, 1, 10**5, 10**7, 10**9, 4 * 10**10])
+def test_tables_follow_the_count(count):
+    missed = (1 - smallworld.FOUND * simhash.meeting(count)) ** simhash.table_count(count)
     assert missed <= 1 - simhash.MEET
 
 
+@pytest.mark.parametrize("n", [3000, 20000])
+def test_lone_pairs_at_the_radius_are_found_in_a_shard(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 2**63, (n, 4), dtype=np.int64).view(np.uint64)
+    at = np.packbits(r.permuted(np.repeat([[1] * simhash.RADIUS + [0] * (256 - simhash.RADIUS)], 500, axis=0), axis=1).astype(np.uint8), axis=1).view(np.uint64)
+    root = smallworld.neighbours(np.concatenate([base, base[:500] ^ at]), simhash.RADIUS).all()
+    assert (root[:500] == root[n:]).mean() >= 0.92  # FOUND less what chance takes
+
+
+def test_a_node_near_few_members_of_a_crowd_joins_it():
+    r = np.random.default_rng(9)
+    flipped = lambda s, bits: s ^ np.packbits(np.bincount(r.permutation(256)[:bits], minlength=256).astype(np.uint8)).view(np.uint64)
+    heart = r.integers(0, 2**63, 4, dtype=np.int64).view(np.uint64)
+    crowd, lone = np.stack([flipped(heart, 8) for _ in range(3000)]), np.stack([flipped(heart, 60) for _ in range(40)])
+    far = r.integers(0, 2**63, (3000, 4), dtype=np.int64).view(np.uint64)
+    root = smallworld.neighbours(np.concatenate([crowd, far, lone]), simhash.RADIUS).all()
+    near = np.array([smallworld.hamming(crowd, x).min() <= simhash.RADIUS for x in lone])
+    assert len(set(root[:3000])) == 1 and near.sum() > 20 and (root[6000:][near] == root[0]).mean() >= 0.9
+
+
 def brute_infix(a, b):
     prev = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
