@@ -4,14 +4,20 @@ Runs of base64 or hex characters are candidates. A candidate is reported only if
 the structure of a secret:
 
 * ``signed_token``: three base64url parts whose first two decode to JSON objects, the header with ``alg``;
+  ``unsigned_token``: the same with ``alg`` none and an empty third part;
 * ``pkcs1_key``, ``pkcs8_key``, ``ec_key``: DER whose nested lengths fill the bytes exactly, with the
   fields of that private key (armoured blocks are joined over their lines first);
-* ``openssh_key``: the magic, then length-prefixed fields that nest to the end;
+  ``encrypted_pkcs8_key``: such DER with a password-based scheme and the encrypted octets;
+* ``encrypted_pem_key``: an armoured block with Proc-Type and DEK-Info headers, whose bytes fill whole blocks of
+  the cipher and whose initial vector has the length of one;
+* ``openssh_key``: the magic, then length-prefixed fields that nest to the end, whatever the number of keys;
 * ``assigned_key``: 16 to 64 raw bytes, assigned to a name such as token, secret or api_key, and not of one
   repeated pattern (at least as many different bytes as half the length, 16 at most). Base64 has a digit, +,
   / or padding, and where the length isn't a usual one for keys a digit and letters of both cases, so that
   words and identifiers aren't taken for keys.
 
+Encodings are walked without recursion, so their depth isn't limited.
+
 Defined cases: null and empty texts hold nothing; rows are scanned one by one, whole, whatever their length;
 null ids are carried; the same secret in repeated rows or places is reported each time; an empty table gives
 an empty result; other columns are not read.
@@ -31,11 +37,14 @@ from pyspark.sql import DataFrame
 
 from .common import narrow
 
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END \1PRIVATE KEY-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,})")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1PRIVATE KEY-----")
+_DEK = re.compile(r"DEK-Info: ([A-Z0-9-]+),([0-9A-Fa-f]+)\s")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){16,}|(?:[0-9A-F]{2}){16,}")
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\w.-]*[\"']?\s*(?:=|:|=>)\s*[\"']?$")
+_NAMED = re.compile(r"(?i)token|secret|passw(?:or)?d|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth")
+#: object identifiers of password-based encryption (PKCS 5 and PKCS 12)
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _LENGTHS, _LEAST, _MOST = (16, 20, 24, 32, 48, 64), 16, 64
 
 
@@ -58,13 +67,21 @@ def _der(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 def _fields(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """The elements that fill the range exactly, each constructed one nesting exactly too."""
-    out = []
-    while at < end:
-        e = _der(b, at, end)
-        if e is None or e[0] & 0x20 and _fields(b, e[1], e[2]) is None:
+    out, ends = [], [end]
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        e = _der(b, at, ends[-1])
+        if e is None:
             return None
-        out.append(e)
-        at = e[2]
+        if len(ends) == 1:
+            out.append(e)
+        if e[0] & 0x20:
+            ends.append(e[2])
+            at = e[1]
+        else:
+            at = e[2]
     return out
 
 
@@ -73,7 +90,13 @@ def _der_key(b: bytes) -> str | None:
     if top is None or top[0] != 0x30 or top[2] != len(b):
         return None
     f = _fields(b, top[1], top[2])
-    if not f or f[0][0] != 2:
+    if not f:
+        return None
+    if [t for t, *_ in f] == [0x30, 4] and f[1][2] - f[1][1] >= 16:
+        scheme = _der(b, f[0][1], f[0][2])
+        if scheme and scheme[0] == 6 and b[scheme[1] : scheme[2]].startswith(_PASSWORD_BASED):
+            return "encrypted_pkcs8_key"
+    if f[0][0] != 2:
         return None
     version, tags = b[f[0][1] : f[0][2]], [t for t, *_ in f]
     if version == b"\0" and len(f) == 9 and set(tags) == {2}:
@@ -96,11 +119,19 @@ def _openssh(b: bytes) -> bool:
         at += 4 + n
     keys = int.from_bytes(b[at : at + 4], "big")
     at += 4
-    for _ in range(min(keys, 16) + 1):  # the public keys, then the private part
+    for _ in range(keys + 1):  # the public keys, then the private part; each takes four bytes at least
         if at + 4 > len(b):
             return False
         at += 4 + int.from_bytes(b[at : at + 4], "big")
-    return 0 < keys <= 16 and at == len(b)
+    return keys > 0 and at == len(b)
+
+
+def _encrypted_pem(head: str, body: bytes | None) -> bool:
+    dek = _DEK.search(head + "\n")
+    if "Proc-Type: 4,ENCRYPTED" not in head or dek is None or not body:
+        return False
+    block = 16 if dek.group(1).startswith(("AES", "CAMELLIA", "SEED")) else 8
+    return len(dek.group(2)) == 2 * block and len(body) % block == 0
 
 
 def _decoded(s: str) -> bytes | None:
@@ -129,6 +160,29 @@ def _raw(b: bytes | None) -> bool:
     return b is not None and _LEAST <= len(b) <= _MOST and len(set(b)) >= min(16, len(b) // 2)
 
 
+def _name(text: str, at: int) -> str:
+    """The name that what begins at ``at`` is assigned to, or an empty one."""
+    k = at
+    if k and text[k - 1] in "\"'":
+        k -= 1
+    while k and text[k - 1].isspace():
+        k -= 1
+    if text.endswith("=>", 0, k):
+        k -= 2
+    elif k and text[k - 1] in "=:":
+        k -= 1
+    else:
+        return ""
+    while k and text[k - 1].isspace():
+        k -= 1
+    if k and text[k - 1] in "\"'":
+        k -= 1
+    end = k
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_.-"):
+        k -= 1
+    return text[k:end]
+
+
 def _mixed(s: str, size: int) -> bool:
     """Whether base64 of so many bytes looks drawn at random and not like a word or an identifier."""
     if size in _LENGTHS:
@@ -140,14 +194,17 @@ def scan(text: str) -> list[tuple[int, str, str]]:
     """(offset, kind, secret) in order; regions of one finding are not searched again."""
     out, taken = [], []
     for m in _ARMOUR.finditer(text):
-        kind = _structure(_decoded("".join(m.group(2).split())))
+        body = _decoded("".join(m.group(3).split()))
+        kind = "encrypted_pem_key" if _encrypted_pem(m.group(2), body) else _structure(body)
         if kind:
             out.append((m.start(), kind, m.group()))
             taken.append(m.span())
     for m in _JWT.finditer(text):
         head = _json(m.group(1))
-        if head and isinstance(head.get("alg"), str) and _json(m.group(2)) is not None:
-            out.append((m.start(), "signed_token", m.group()))
+        alg = head.get("alg") if head else None
+        signed = len(m.group(3)) >= 16
+        if isinstance(alg, str) and (signed or not m.group(3) and alg.lower() == "none") and _json(m.group(2)) is not None:
+            out.append((m.start(), "signed_token" if signed else "unsigned_token", m.group()))
             taken.append(m.span())
     taken.sort()
     k = 0
@@ -159,7 +216,7 @@ def scan(text: str) -> list[tuple[int, str, str]]:
         s, hexes = m.group(), _HEX.fullmatch(m.group())
         b = bytes.fromhex(s) if hexes else _decoded(s)
         kind = _structure(b)
-        if kind is None and _raw(b) and (hexes or _mixed(s, len(b))) and _NAMED.search(text, max(0, m.start() - 64), m.start()):
+        if kind is None and _raw(b) and (hexes or _mixed(s, len(b))) and _NAMED.search(_name(text, m.start())):
             kind = "assigned_key"
         if kind:
             out.append((m.start(), kind, s))
