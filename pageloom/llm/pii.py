@@ -3,8 +3,10 @@
 A value is found by its shape, validated (Luhn and IBAN check digits, SSN and octet ranges, the calendar)
 and replaced by the image of a keyed Feistel permutation within its own format. Separators, lengths and
 check digits stay right, so the pseudonym is again a valid value of the same kind; equal values have equal
-pseudonyms in all documents, however they are punctuated, and different values have different ones. With
-the key ``restore`` inverts the replacement. Where several numbers stand a blank or hyphen apart, cards in
+pseudonyms in all documents, however they are punctuated, and different values have different ones. A date
+keeps its pseudonym in all its forms: the day is permuted under one key among the days whose month and day
+take as many digits (days of 10 to 12, which can be read as months, apart from later ones). With the key
+``restore`` inverts the replacement. Where several numbers stand a blank or hyphen apart, cards in
 one group or grouped as printed are read first; other readings rest on check digits alone, so there a
 pseudonym may by chance read as another span, and ``restore`` then isn't exact.
 
@@ -31,7 +33,6 @@ from pyspark.sql import DataFrame
 from . import vec
 from .common import narrow
 
-KEY = b"pageloom pseudonyms"
 ROUNDS = 8
 
 _SHAPES = re.compile(
@@ -70,6 +71,8 @@ _LENGTHS = {
     33: "RU",
 }
 _IBAN = {c: n for n, names in _LENGTHS.items() for c in names.split()}
+#: calling codes of one and of two digits; all others have three
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 _FIRST = date(1900, 1, 1).toordinal()
 _DAYS = date(2099, 12, 31).toordinal() - _FIRST + 1
 
@@ -77,11 +80,13 @@ _DAYS = date(2099, 12, 31).toordinal() - _FIRST + 1
 class Cipher:
     """Keyed permutations of digit strings and number ranges."""
 
-    def __init__(self, key: bytes = KEY, inverse: bool = False) -> None:
-        self.key, self.inverse = key, inverse
+    def __init__(self, key: bytes, inverse: bool = False) -> None:
+        if not key:
+            raise ValueError("pseudonyms need a key")
+        self.key, self.inverse = key if len(key) <= 64 else hashlib.blake2b(key).digest(), inverse
 
     def _round(self, kind: str, n: int, other: tuple[int, ...], modulus: int) -> int:
-        mac = hashlib.blake2b(f"{kind}|{n}|{other}".encode(), key=self.key[:64], digest_size=24)
+        mac = hashlib.blake2b(f"{kind}|{n}|{other}".encode(), key=self.key, digest_size=24)
         return int.from_bytes(mac.digest(), "big") % modulus
 
     def symbols(self, xs: list[int], radix: int, kind: str) -> list[int]:
@@ -191,8 +196,15 @@ def _day(y: int, m: int, d: int) -> int | None:
     return n if 0 <= n < _DAYS else None
 
 
-def _moved(c: Cipher, n: int, kind: str, valid: Callable[[date], bool] = lambda _: True) -> date:
-    return date.fromordinal(_FIRST + c.below(n, _DAYS, kind, lambda x: valid(date.fromordinal(_FIRST + x))))
+def _moved(c: Cipher, n: int) -> date:
+    """The image of a day among those whose month and day are written with as many digits."""
+
+    def alike(x: int) -> tuple[bool, bool, bool]:
+        d = date.fromordinal(_FIRST + x)
+        return d.month < 10, d.day < 10, d.day > 12
+
+    mine = alike(n)
+    return date.fromordinal(_FIRST + c.below(n, _DAYS, "date", lambda x: alike(x) == mine))
 
 
 def pseudonym(kind: str, s: str, c: Cipher) -> str | None:
@@ -223,7 +235,7 @@ def pseudonym(kind: str, s: str, c: Cipher) -> str | None:
         v = _number(xs, 10)
         return _fill(s, list(f"{c.below(v, 10**9, 'ssn', ok):09d}")) if ok(v) else None
     if kind == "phone":
-        code = 1 if xs[0] in (1, 7) else 2
+        code = next((k for k in (1, 2) if "".join(map(str, xs[:k])) in _CODES), 3)
         if not 8 <= len(xs) <= 15:
             return None
         return _fill(s, [str(x) for x in xs[:code] + c.symbols(xs[code:], 10, f"phone{xs[:code]}")])
@@ -244,25 +256,14 @@ def pseudonym(kind: str, s: str, c: Cipher) -> str | None:
     p = [int(x) for x in re.split(r"[-./]", s)]
     if kind == "iso":
         n = _day(*p)
-        return None if n is None else _moved(c, n, "date").isoformat()
-    # whether days and months were padded is part of the format; its dates are those that can be so written
-    pad = ["0" if x[0] == "0" else "" for x in re.split(r"[./]", s)[:2]]
+        return None if n is None else _moved(c, n).isoformat()
     swap = kind == "slash" and p[0] <= 12
     n = _day(p[2], p[0], p[1]) if swap else _day(p[2], p[1], p[0])
     if n is None:
         return None
+    d = _moved(c, n)
     wide = [len(x) for x in re.split(r"[./]", s)[:2]]
-
-    def written(d: date) -> list[int]:
-        return [d.month, d.day] if swap else [d.day, d.month]
-
-    def valid(d: date) -> bool:
-        a = written(d)
-        same = all((x < 10) == (w == 1 or z == "0") for x, w, z in zip(a, wide, pad))
-        return same and (kind != "slash" or swap or a[0] > 12)
-
-    d = _moved(c, n, f"{kind}{wide}{pad}{swap}", valid)
-    a = written(d)
+    a = [d.month, d.day] if swap else [d.day, d.month]
     return ("." if kind == "dots" else "/").join([f"{a[0]:0{wide[0]}d}", f"{a[1]:0{wide[1]}d}", f"{d.year:04d}"])
 
 
@@ -291,8 +292,11 @@ def rewrite(text: str, c: Cipher) -> tuple[str, list[str]]:
     return "".join([*out, text[done:]]), kinds
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> DataFrame:
-    """doc_id, text, replaced: every document, its text with pseudonyms, and how many there are."""
+def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
+    """doc_id, text, replaced: every document, its text with pseudonyms, and how many there are.
+
+    Whoever has the key can invert the pseudonyms, so it belongs in no source and no table.
+    """
     rows = narrow(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +315,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, inverse: bool = False) -> Da
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, replaced long")
 
 
-def restore(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def restore(docs: DataFrame, key: bytes) -> DataFrame:
     """The inverse of ``pseudonymise`` under the same key."""
     return pseudonymise(docs, key, True)

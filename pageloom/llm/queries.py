@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,7 +93,9 @@ QUERIES["op8_best_fit_packing"] = op8_best_fit_packing
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_documents(spark, sf_dir))
+    """Under the key in spark.pageloom.pii.key, or else a fresh one that nobody keeps."""
+    key = spark.conf.get("spark.pageloom.pii.key", "") or token_hex(32)
+    return pii.pseudonymise(_documents(spark, sf_dir), key.encode())
 
 
 QUERIES["op1_pii_pseudonyms"] = op1_pii_pseudonyms
