@@ -4,8 +4,9 @@ A template is license wording with markup: ``<<opt>>...<<end>>`` encloses an opt
 ``<<var:a-b>>`` stands for a to b words of any wording. It is compiled to an automaton over word tokens
 (case, punctuation and line breaks don't count). A stretch of a text is accepted if the automaton reads it
 to the end, that is, if all mandatory wording is there exactly and in order and nothing else is, except in
-optional and replaceable regions. Every start in every text is tried; of the stretches that begin at one
-word the longest is reported.
+optional and replaceable regions. Every start in every text is tried, and of the accepted stretches those
+are reported that lie in no longer one, whatever its license, so that a text is found once and not again
+without its optional parts.
 
 Starts are found by the first two mandatory words of a template, compared as hashes over whole batches, so
 the automata run only where these words stand.
@@ -120,6 +121,21 @@ def _hash(word: str) -> int:
     return int(vec.words(*vec.flat(pa.array([word])))[0][0])
 
 
+def maximal(stretches: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Those of the stretches (row, first, last, name) that lie in no longer one of their row."""
+    out, row, reach, begun = [], None, 0, 0
+    for x in sorted(stretches, key=lambda x: (x[0], x[1], -x[2], x[3])):
+        r, first, last, _ = x
+        if r != row:
+            row, reach, begun = r, 0, 0
+        # of those before it in this order, one that reaches as far holds it, unless it is the same stretch
+        if last > reach or (last == reach and first == begun):
+            out.append(x)
+            if last > reach:
+                reach, begun = last, first
+    return out
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, first_word, last_word (words from 1) of every accepted stretch."""
     rows = narrow(docs, "doc_id", "text")
@@ -139,12 +155,14 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
                     if b is not None:
                         ok &= following == np.uint64(b)
                     hits.update((int(p), name) for p in np.flatnonzero(ok))
+                here = []
                 for p, name in sorted(hits):
                     r = int(np.searchsorted(bounds, p, "right")) - 1
                     end = automata[name].longest(_Slice(h, p, int(bounds[r + 1])), 0)
                     if end >= 0:
                         first = p - int(bounds[r])
-                        found.append((i + r, name, first + 1, first + end))
+                        here.append((i + r, first + 1, first + end, name))
+                found += [(r, name, a, b) for r, a, b, name in maximal(here)]
             cols = list(zip(*found)) if found else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "license", "first_word", "last_word"])
 
