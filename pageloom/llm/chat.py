@@ -2,10 +2,13 @@
 
 Messages of a conversation form trees. A column ``parent_turn`` names the message replied to; where the
 table has none, a message replies to the latest earlier message of another role, so that several messages
-of one role in a row are alternative replies. Iterative self-joins build the paths from the roots to the
-leaves over ids only; each round is written to the shared folder. Branches are ranked by score within a conversation
+of one role in a row are alternative replies. Iterative self-joins over ids find every message's way to its
+root: round k joins each message with the one 2^k above it, which gives the one 2^(k+1) above and the score
+and length of the path between, so rounds are logarithmic in the depth and no path is held as an array. Each
+round is written to the shared folder. Branches are ranked by score within a conversation
 (the sum of the messages' ``score``, or else of the characters of the assistant's messages; ties: the longer
-path, then the smaller leaf turn), and each of the best ``branches`` is formatted as one conversation.
+path, then the smaller leaf turn), and the paths of the best ``branches`` are walked back through the same rounds
+and formatted as one conversation each.
 
 Defined cases: messages with a null conversation or turn have no place and are left out; a null role is
 ``unknown``, a null text empty, a null score 0; of several messages with the same conversation and turn the
@@ -42,33 +45,41 @@ def messages(table: DataFrame) -> DataFrame:
     return rows.withColumn("at", turned).withColumn("parent", F.last("at", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("at")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """conv_id, turn, path, score: every root-to-leaf path, as the turns on it.
-
-    Each message holds the stretch of path that ends in it and the message above that stretch. A self-join
-    puts the stretch of that message in front, so stretches double and the rounds are logarithmic in the
-    depth. What no further round resolves hangs on a cycle.
-    """
+def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(conv_id, turn, up) for each power of two, ``up`` being the message so many levels above; and conv_id,
+    turn, score and n_messages of every root-to-leaf path, under its leaf."""
     edges = cut(nodes.select("conv_id", "turn", "parent", "score"), "edges")
     there = edges.select("conv_id", F.col("turn").alias("parent"), F.lit(True).alias("found"))
     up = F.when(F.col("found"), F.col("parent"))
-    state = cut(edges.join(there, ["conv_id", "parent"], "left").select("conv_id", "turn", up.alias("up"), F.array("turn").alias("path"), "score"), "stretches")
-    left = None
+    state = cut(edges.join(there, ["conv_id", "parent"], "left").select("conv_id", "turn", up.alias("up"), "score", F.lit(1).cast("long").alias("n_messages")), "stretches")
+    jumps, left = [], None
+    # a message whose way has ended stays as it is; those that never end hang on a cycle
     while (now := state.where("up is not null").count()) not in (0, left):
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("score").alias("more"))
-        longer = state.where("up is not null").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("more") + F.col("score")).alias("score"))
+        jumps.append(state.where("up is not null").select("conv_id", "turn", "up"))
+        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n_messages").alias("longer"))
+        longer = state.where("up is not null").join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("more") + F.col("score")).alias("score"), (F.col("longer") + F.col("n_messages")).alias("n_messages"))
         state, left = cut(state.where("up is null").unionByName(longer), "stretches"), now
     parents = edges.select("conv_id", F.col("parent").alias("turn")).distinct()
-    return state.where("up is null").drop("up").join(parents, ["conv_id", "turn"], "left_anti")
+    return jumps, state.where("up is null").drop("up").join(parents, ["conv_id", "turn"], "left_anti")
+
+
+def walked(best: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """The chosen leaves (conv_id, leaf_turn, rank) with every message ``turn`` of their paths and its height
+    over the leaf: from the longest climb down, each message reached so far gets the one so far above it."""
+    way = best.withColumn("turn", F.col("leaf_turn")).withColumn("height", F.lit(0).cast("long"))
+    for k in reversed(range(len(jumps))):
+        more = way.join(jumps[k], ["conv_id", "turn"]).withColumn("turn", F.col("up")).withColumn("height", F.col("height") + (1 << k))
+        way = cut(way.unionByName(more.drop("up")), "ways")
+    return way
 
 
 def format_conversations(table: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """conv_id, rank, leaf_turn, score, n_messages, text: the best branches of each conversation."""
     nodes = cut(messages(table), "messages")
-    w = W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc(F.size("path")), "turn")
-    best = paths(nodes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches)
-    spread = best.select("conv_id", "rank", F.col("turn").alias("leaf_turn"), "score", F.posexplode("path").alias("k", "turn"))
-    said = spread.join(nodes.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"])
+    jumps, whole = climbs(nodes)
+    w = W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n_messages"), "turn")
+    best = cut(whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= branches).withColumnRenamed("turn", "leaf_turn"), "best")
+    said = walked(best, jumps).join(nodes.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"])
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
-    whole = said.groupBy("conv_id", "rank", "leaf_turn", "score").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"))
+    whole = said.groupBy("conv_id", "rank", "leaf_turn", "score", "n_messages").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("k"), line.alias("line")))).alias("lines"))
     return whole.select("conv_id", F.col("rank").cast("long").alias("rank"), "leaf_turn", "score", "n_messages", F.array_join("lines.line", "").alias("text"))
