@@ -23,10 +23,15 @@ def positional(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only in local mode, where the session names none.
+
+    A cluster must name its folder, as executors don't see each other's temporary files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {sc.master} share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pageloom-"))
     return sc.getCheckpointDir()
 
