@@ -34,8 +34,12 @@ from . import vec
 from .common import cut, narrow, positional, row_key
 
 THRESHOLD = Fraction(4, 5)
-BUCKETS, RARE, BEST = 22, 1024, 8
-_PAIRS = 1 << 19
+BUCKETS, RARE = 22, 1024
+#: candidates of a set in one key that are verified first: where the closest lies well within the bound, and elsewhere
+BEST = (2, 12)
+#: sets of more words have a second word of parity bits in their postings
+WIDE = 64
+_PAIRS, _HELD = 1 << 19, 1 << 22
 _LAST = (1 << 63) - 1
 _PARITY = ("p0", "p1", "p2", "p3")
 
@@ -150,7 +154,8 @@ def _keys(h: np.ndarray, bounds: np.ndarray, code: np.ndarray, frequent: int, t:
 
 
 def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """key, sid, doc, line, spot (size and position) and parity; with ``only``, of the keys that pass it."""
+    """key, sid, doc, line, spot (size and position), parity, and for large sets the parity of half the words
+    (``more``, or else 0), which makes 128 bits of the 64; with ``only``, of the keys that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,31 +165,37 @@ def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only
                 new = np.ones(len(sid), bool)
                 o = np.lexsort((number, ids[row], sid))
                 new[o[1:][sid[o][1:] == sid[o][:-1]]] = False  # the first of equal sets stands for them
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), bounds[:-1])
+                bit = np.uint64(1) << (h & np.uint64(63))
+                parity = np.bitwise_xor.reduceat(bit, bounds[:-1])
+                more = np.bitwise_xor.reduceat(np.where(h & np.uint64(64), bit, np.uint64(0)), bounds[:-1])
+                more[np.diff(bounds) <= WIDE] = 0
                 line, key, pos = _keys(h, bounds, code, frequent, t)
                 keep = new[line]
                 if only is not None:
                     keep &= _passes(only, key.view(np.int64))
                 line, key, pos = line[keep], key[keep], pos[keep]
                 spot = (np.diff(bounds)[line] << 32) | pos
-                cols = [key.view(np.int64), sid[line], ids[row[line]], number[line], spot, parity[line].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "doc", "line", "spot", "parity"])
+                cols = [key.view(np.int64), sid[line], ids[row[line]], number[line], spot, parity[line].view(np.int64), more[line].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "doc", "line", "spot", "parity", "more"])
 
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "key long, sid long, doc long, line long, spot long, parity long")
+    return rows.mapInArrow(run, "key long, sid long, doc long, line long, spot long, parity long, more long")
 
 
-def _candidates(cols: list[np.ndarray], t: Fraction, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(cols: list[np.ndarray], t: Fraction, best: tuple[int, int] | None, of: tuple[np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(later, earlier, key) for sets that share a key and pass the filters.
 
     With ``best`` a set that has more earlier partners in one key keeps those of the least parity distance,
-    and a row without partner names the key that was cut short. Without, every partner is given.
+    and a row without partner names the key that was cut short. Without, every partner is given, of the later
+    sets that pass ``of``.
     """
-    key, sid, doc, line, spot, parity = cols
+    key, sid, doc, line, spot, parity, more = cols
     o = np.lexsort((line, doc, sid, spot >> 32, key))
     o = o[np.r_[True, (key[o][1:] != key[o][:-1]) | (sid[o][1:] != sid[o][:-1])]]
-    key, sid, doc, line, spot, parity = (c[o] for c in (key, sid, doc, line, spot, parity))
-    size, pos, parity = spot >> 32, spot & 0xFFFFFFFF, parity.view(np.uint64)  # bits of signed numbers are counted without the sign
+    key, sid, doc, line, spot, parity, more = (c[o] for c in (key, sid, doc, line, spot, parity, more))
+    # bits of signed numbers are counted without the sign
+    size, pos, parity, more = spot >> 32, spot & 0xFFFFFFFF, parity.view(np.uint64), more.view(np.uint64)
+    less = parity ^ more
     n = len(key)
     rank = np.empty(n, np.int64)
     rank[np.lexsort((sid, line, doc))] = np.arange(n)
@@ -198,7 +209,8 @@ def _candidates(cols: list[np.ndarray], t: Fraction, best: int | None) -> Iterat
     total = np.cumsum(count)
     small = size.astype(np.int32)
     rest = ((size - pos) * (t.numerator + t.denominator)).astype(np.int32)
-    pairs, i0 = [], 0
+    asked = None if of is None else _passes(of, sid)
+    pairs, held, i0 = [], 0, 0
     ends = np.append(np.flatnonzero(head)[1:], n)
     while i0 < n:
         # whole keys at a time, as many as the pair budget takes, one at least
@@ -215,28 +227,55 @@ def _candidates(cols: list[np.ndarray], t: Fraction, best: int | None) -> Iterat
             i, j, both = np.repeat(np.arange(lo, hi, dtype=np.int32), n_each)[ok], j[ok], both[ok]
             far = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32)
             ok = far * (t.numerator + t.denominator) <= (t.denominator - t.numerator) * both
+            i, j, far, both = i[ok], j[ok], far[ok], both[ok]
+            # sets of a key rise in size, so the first is the smaller
+            large = np.flatnonzero(small[i] > WIDE)
+            a, b = i[large], j[large]
+            far[large] = np.bitwise_count(more[a] ^ more[b]).astype(np.int32) + np.bitwise_count(less[a] ^ less[b])
+            ok = np.ones(len(far), bool)
+            ok[large] = far[large] * (t.numerator + t.denominator) <= (t.denominator - t.numerator) * both[large]
             i, j, far = i[ok], j[ok], far[ok]
             swap = rank[i] > rank[j]
-            pairs.append(np.stack([np.where(swap, i, j), np.where(swap, j, i), far]))
-        later, earlier, far = np.concatenate(pairs, axis=1)
-        pairs = []
-        if len(later):
+            i, j = np.where(swap, i, j), np.where(swap, j, i)
+            if asked is not None:
+                ok = asked[i]
+                i, j, far = i[ok], j[ok], far[ok]
             if best is None:
-                yield sid[later], sid[earlier], np.zeros(len(later), np.int64)
-            else:
-                o = np.lexsort((rank[earlier], far, later))
-                later, earlier = later[o], earlier[o]
-                first = np.r_[True, later[1:] != later[:-1]]
-                at = np.arange(len(later))
-                nth = at - np.maximum.accumulate(np.where(first, at, 0))
-                keep = nth < best
-                yield sid[later[keep]], sid[earlier[keep]], np.zeros(int(keep.sum()), np.int64)
-                cut_short = later[nth == best]
-                if len(cut_short):
-                    yield sid[cut_short], np.zeros(0, np.int64), key[cut_short]
+                if len(i):
+                    yield sid[i], sid[j], np.zeros(len(i), np.int64)
+                continue
+            pairs.append(np.stack([i, j, far]))
+            held += len(i)
+            if held > _HELD:  # one more than is kept tells that there were more
+                pairs = [_closest(np.concatenate(pairs, axis=1), rank, best[1] + 1)[0]]
+                held = pairs[0].shape[1]
+        if held:
+            (later, earlier, far), nth, head_at = _closest(np.concatenate(pairs, axis=1), rank, best[1] + 1)
+            sure = 2 * far * (t.numerator + t.denominator) <= (t.denominator - t.numerator) * (small[later] + small[earlier])
+            most_of = np.where(sure[head_at], *best)
+            keep = nth < most_of
+            yield sid[later[keep]], sid[earlier[keep]], np.zeros(int(keep.sum()), np.int64)
+            cut_short = later[nth == most_of]
+            if len(cut_short):
+                yield sid[cut_short], np.zeros(0, np.int64), key[cut_short]
+        pairs, held = [], 0
         i0 = i1
 
 
+def _closest(pairs: np.ndarray, rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs by later set, then distance, then the earlier set's rank, at most so many of a set; the place
+    of each among its set's pairs, and where those begin."""
+    later, earlier, far = pairs
+    o = np.lexsort((rank[earlier], far, later)) if len(rank) >= 1 << 28 else np.argsort((later.astype(np.int64) * 129 + far) * len(rank) + rank[earlier])
+    pairs = pairs[:, o]
+    at = np.arange(len(o))
+    begin = np.maximum.accumulate(np.where(np.r_[True, pairs[0, 1:] != pairs[0, :-1]], at, 0))
+    keep = np.flatnonzero(at - begin < most)
+    start = np.cumsum(np.r_[False, begin[keep][1:] != begin[keep][:-1]])
+    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+    return pairs[:, keep], (at - begin)[keep], first[start]
+
+
 def _steps(total: np.ndarray, i0: int, i1: int) -> Iterator[tuple[int, int]]:
     """Ranges of about ``_PAIRS`` pairs."""
     while i0 < i1:
@@ -245,7 +284,7 @@ def _steps(total: np.ndarray, i0: int, i1: int) -> Iterator[tuple[int, int]]:
         i0 = j
 
 
-def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, best: int | None = BEST, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, best: tuple[int, int] | None, only: tuple[np.ndarray, int] | None = None, of: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """later, earlier, key as ``_candidates`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +292,7 @@ def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, be
         if held:
             table = pa.Table.from_batches(held)
             del held
-            for later, earlier, key in _candidates([c.to_numpy() for c in table.columns], t, best):
+            for later, earlier, key in _candidates([c.to_numpy() for c in table.columns], t, best, of):
                 other = pa.array(earlier) if len(earlier) else pa.nulls(len(later), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(later), other, pa.array(key)], names=["later", "earlier", "key"])
 
@@ -318,11 +357,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, code: np.ndarray, t: Fraction)
     a = sets.select(F.col("sid").alias("later"), size.alias("na"), *[F.col(c).alias(f"a{c}") for c in _PARITY])
     b = sets.select(F.col("sid").alias("earlier"), size.alias("nb"), *[F.col(c).alias(f"b{c}") for c in _PARITY])
     apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _PARITY), F.lit(0))
-    near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
-    pairs = pairs.join(a, "later").join(b, "earlier").where(near).select("later", "earlier")
+    within = F.col("apart") * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
+    near = pairs.join(a, "later").join(b, "earlier").withColumn("apart", apart).where(within).select("later", "earlier", "apart")
+    near = cut(near, "near")
     left, right = sets.select("sid", "words").toDF("later", "wa"), sets.select("sid", "words").toDF("earlier", "wb")
     both = F.size(F.array_intersect("wa", "wb")) * (t.numerator + t.denominator)
-    return pairs.join(left, "later").join(right, "earlier").where(both >= (F.size("wa") + F.size("wb")) * t.numerator).select("later").distinct()
+
+    def alike(some: DataFrame) -> DataFrame:
+        full = some.join(left, "later").join(right, "earlier")
+        return full.where(both >= (F.size("wa") + F.size("wb")) * t.numerator).select("later")
+
+    # one match is enough: the pair of the fewest differing bits settles nearly every set
+    closest = near.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("pair"))
+    done = cut(alike(closest.select("later", "pair.earlier")), "closest")
+    others = cut(near.join(closest, "later").where("earlier <> pair.earlier").select("later", "earlier").join(done, "later", "left_anti"), "others")
+    return done if others.isEmpty() else done.union(alike(others).distinct())
 
 
 def similar_sets(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction) -> DataFrame:
@@ -332,15 +381,16 @@ def similar_sets(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction)
     settles the members of large groups. A set that isn't settled and had more candidates is then compared
     with all of them.
     """
-    found = cut(candidates(docs, code, frequent, t), "candidates")
+    found = cut(candidates(docs, code, frequent, t, BEST), "candidates")
     pairs = cut(found.where("earlier is not null").select("later", "earlier").distinct(), "pairs")
     done = cut(_verified(docs, pairs, code, t), "similar")
     more = cut(found.where("earlier is null").select("later", "key").join(done, "later", "left_anti"), "open")
     count = more.count()
     if not count:
         return done.toDF("sid")
-    rest = candidates(docs, code, frequent, t, None, _filter(more.select("key"), count)).select("later", "earlier")
-    rest = cut(rest.join(more.select("later").distinct(), "later", "left_semi").distinct(), "rest")
+    asked = more.select("later").distinct()
+    rest = candidates(docs, code, frequent, t, None, _filter(more.select("key"), count), _filter(asked, count)).select("later", "earlier")
+    rest = cut(rest.join(asked, "later", "left_semi").distinct(), "rest")
     return done.union(_verified(docs, rest, code, t)).distinct().toDF("sid")
 
 
