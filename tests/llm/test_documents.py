@@ -97,7 +97,7 @@ def brute_lines(docs, p=4, q=9):
     return out
 
 
-@pytest.mark.parametrize("seed,best", [(0, 1), (1, 2), (2, 8)])
+@pytest.mark.parametrize("seed,best", [(0, (1, 1)), (1, (1, 3)), (2, (2, 12))])
 def test_line_dedup_against_brute_force(spark, monkeypatch, seed, best):
     r = random.Random(seed)
     monkeypatch.setattr(linededup, "RARE", 2)  # so that words count as frequent and pairs become keys
@@ -127,6 +127,38 @@ def flips(r, sig, share):
     return sig ^ np.packbits(r.random((len(sig), 256)) < share, axis=1).view(np.uint64)
 
 
+@pytest.mark.parametrize("held,best", [(1 << 22, None), (1 << 22, (1, 2)), (5, (1, 2)), (5, (3, 40))])
+def test_candidates_are_all_pairs_or_the_closest(monkeypatch, held, best):
+    monkeypatch.setattr(linededup, "_HELD", held)
+    monkeypatch.setattr(linededup, "_PAIRS", 7)
+    monkeypatch.setattr(linededup, "WIDE", 10)
+    r, t = random.Random(5), Fraction(4, 5)
+    base = [r.randrange(1 << 64) for _ in range(20)]
+    sets = {frozenset(r.sample(base, r.randint(6, 15))) for _ in range(60)}
+    sets = [sorted(s) for s in sets]
+    h, bounds = np.array([w for s in sets for w in s], np.uint64), np.r_[0, np.cumsum([len(s) for s in sets])]
+    bit = np.uint64(1) << (h & np.uint64(63))
+    parity = np.bitwise_xor.reduceat(bit, bounds[:-1])
+    more = np.bitwise_xor.reduceat(np.where(h & np.uint64(64), bit, np.uint64(0)), bounds[:-1])
+    size = np.diff(bounds)
+    more[size <= 10] = 0
+    sid, key = np.arange(len(sets)), np.arange(len(sets)) % 2
+    cols = [key, sid, np.arange(len(sets)) * 7 % 61, np.ones(len(sets), np.int64), size << 32, parity.view(np.int64), more.view(np.int64)]
+    got, short = {}, set()
+    for later, earlier, k in linededup._candidates(cols, t, best):
+        short |= {(int(a), int(b)) for a, b in zip(later, k)} if not len(earlier) else set()
+        for a, b in zip(later.tolist(), earlier.tolist()):
+            got.setdefault(a, set()).add(b)
+    doc = cols[2]
+    for a in sid.tolist():
+        mates = [b for b in sid.tolist() if key[b] == key[a] and doc[b] < doc[a]]
+        similar = {b for b in mates if 9 * len({*sets[a]} & {*sets[b]}) >= 4 * (size[a] + size[b])}
+        if best is None or not any(x == a for x, _ in short):
+            assert similar <= got.get(a, set())
+        else:
+            assert len(got[a]) in best
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_small_world_recall(seed):
     r = np.random.default_rng(seed)
@@ -260,7 +292,7 @@ def test_decontamination_against_brute_force(spark):
     got = {(x.doc_id, x.item_id): x.edits for x in decontaminate.contaminated(table(spark, docs), items_table(spark, items)).collect()}
     brute = {(d, k): e for d, t in docs for k, i in items if i for e in [brute_infix(word_list(i), word_list(t))] if e <= int(0.15 * len(word_list(i)))}
     assert planted <= set(brute) and set(got) <= set(brute)
-    assert len(got) >= 0.9 * len(brute) and all(got[x] >= brute[x] for x in got)
+    assert len(got) >= 0.95 * len(brute) and all(got[x] >= brute[x] for x in got)
     kept = {x[0] for x in decontaminate.keep_documents(table(spark, docs), items_table(spark, items)).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
 
@@ -275,6 +307,31 @@ def test_decontamination_of_odd_and_empty_tables(spark, odd, empty):
     assert decontaminate.contaminated(empty, items).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string", "short"])
+def test_item_ids_of_any_type(spark, kind):
+    text = prose(61, 20)
+    items = spark.createDataFrame([("7" if kind == "string" else 7, text)], f"item_id {kind}, text string")
+    out = decontaminate.contaminated(table(spark, [(1, f"before {text} after"), (2, prose(62, 30))]), items)
+    assert out.schema["item_id"].dataType.simpleString() == items.schema["item_id"].dataType.simpleString()
+    assert [(str(r.item_id), r.doc_id) for r in out.collect()] == [("7", 1)]
+
+
+def test_a_short_item_leaves_the_search_for_others_alone():
+    r = random.Random(3)
+    words = lambda n: np.array([r.randrange(1 << 64) for _ in range(n)], np.uint64)
+    long = [(k, words(20 + k)) for k in range(10)]
+    alone, mixed = decontaminate.plans(long), decontaminate.plans([*long, (98, words(1)), (99, words(3))])
+    assert [p.window for p in mixed] == [1, 2, 16] and [p.window for p in alone] == [16]
+    assert [d[0] for d in mixed[-1].draws] == [d[0] for d in alone[0].draws]
+
+
+def test_an_unmet_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontaminate, "REPS", 1)
+    words = np.arange(40, dtype=np.uint64) * np.uint64(7919)
+    with pytest.raises(ValueError):
+        decontaminate.Plan([(1, words)], edits=0.3, recall=1.0)
+
+
 def test_slices_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 20)
     items = [(k, prose(40 + k, 15)) for k in range(6)]
