@@ -139,3 +139,19 @@ def list_pattern(text: Column) -> Column:
         .when(letter != "", kind("letter", (F.ascii(letter) - 96).cast("long")))
         .when(t.rlike(r"^(?:i|ii|iii|iv|v|vi|vii|viii|ix|x)+[.)]"), kind("roman", none))
     )
+
+
+LISTED = r"^\s*(?:[\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}*+~-]|\d+[.)]|\(\d+\)|\[\d+\]|[a-zA-Z][.)]|\([a-zA-Z]\)|\[[a-zA-Z]\]|(?:i{1,3}|iv|v|vi{1,3}|ix|x)[.)]|Step\s+\d+[:.)]|\d+\.\d+(?:\.\d+)*)\s+"
+GOES_ON = r"^(?:and|or|but|nor|for|so|yet)"
+SUB_ITEM = r"^[a-z]\)|^\d+\)|^[A-Z]\)|^\s+[\p{L}\p{N}_]"
+
+
+def listed(text: Column) -> Column:
+    """One of eleven list marks and a blank."""
+    return text.rlike(LISTED)
+
+
+def listed_on(text: Column) -> Column:
+    """Wording that goes on with the list item before: a conjunction, a sub-item, or no capital and no digit."""
+    t = F.trim(text)
+    return (t != "") & (t.rlike(GOES_ON) | text.rlike(SUB_ITEM) | (~text.rlike(r"^\p{Lu}") & ~t.rlike(r"^\p{Nd}")))

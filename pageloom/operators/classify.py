@@ -254,3 +254,57 @@ def simple_title(text: Column, bold: Column, size_ratio: Column) -> Column:
     text = F.trim(text)
     terms = points((word_count(text) <= 10, 20), (m.title_case(text) | m.all_caps(text), 20), (bold, 20), (size_ratio > 1.2, 30), (~text.rlike(r"[.!?]$"), 10))
     return F.least(F.lit(100), terms) / 100
+
+
+def likely_title(text: Column, font_size: Column, median_size: Column, bold: Column, italic: Column, relative_y: Column) -> dict[str, Column]:
+    """The second title score: points (hundredths, 0 to 100) and whether they are over 40."""
+    text = F.trim(text)
+    n = word_count(text)
+    upper = m.all_caps(text)
+    titled = ~upper & ~text.rlike(r"(?:^|[^\p{L}])\p{Ll}") & ~text.rlike(r"\p{L}\p{Lu}")
+    numbered, lettered = text.rlike(r"^\d+\.?\d*\s+[\p{L}\p{N}_]+"), text.rlike(r"^[A-Z]\.\s+[\p{L}\p{N}_]+")
+    out = (F.char_length(text) < 2) | (n > 25) | (F.size(F.split(text, r"[.!?]+", -1)) > 2)
+    score = points(
+        (font_size > median_size * 1.2, 30), (bold, 20), (italic, 10), (upper, 15), (titled, 10), (n <= 15, 10), (text.rlike(r"[.:;]$"), -20), (numbered, 30), (~numbered & lettered, 25),
+        (F.lower(text).rlike(r"^(?:chapter|section|appendix|introduction|conclusion|abstract|summary)\s+\d*"), 25), (m.has_verb(text), -10), ((relative_y > 0.8) | (relative_y < 0.1), -15),
+    )
+    return {"points": F.when(out, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), score))), "is_title": ~out & (score > 40)}
+
+
+HEADINGS = r"^(?:(?:Chapter|Section|Part)\s+\d+|\d+\.\d+\s+[A-Z]|[IVX]+\.\s+[A-Z])"
+
+
+def analysed_title(text: Column, font_size: Column, body_size: Column, bold: Column) -> dict[str, Column]:
+    """The text analyser's title: short, and large, capital or headed; points are 0 or 80 to 100."""
+    lines = F.split(text, "\n")
+    short = (F.size(lines) <= 2) & (F.char_length(F.translate(text, "\n", "")) / F.size(lines) < 100) & (F.trim(text) != "")
+    large, headed = font_size / body_size > 1.2, text.rlike(HEADINGS)
+    # any end is a proper one, as the end mark may be missing
+    score = F.least(F.lit(100), F.lit(80) + points((large, 10), (bold, 10), (headed, 10)))
+    return {"points": F.when(short & (large | m.all_caps(text) | headed), score).otherwise(0)}
+
+
+def analysed_margin(text: Column, font_size: Column, body_size: Column, bold: Column) -> dict[str, Column]:
+    """The text analyser's header or footer at a margin: points are 0 or 70 to 100, and it is one above 70."""
+    lines = F.split(text, "\n")
+    short = (F.size(lines) <= 2) & (F.char_length(F.translate(text, "\n", "")) / F.size(lines) < 80) & (F.trim(text) != "")
+    return {"points": F.when(short, F.lit(70) + points((F.abs(font_size - body_size) > 0.5, 10), (bold, 10), (F.size(lines) == 1, 10))).otherwise(0)}
+
+
+def pre_type(text: Column, bold: Column, has_table: Column) -> Column:
+    """The type that a block has before classification; UNKNOWN where nothing tells."""
+    t = F.trim(text)
+    listed = t.rlike(r"^\s*\d+[.)]\s+|^\s*[\x{2022}*-]\s+")
+    return (
+        F.when(has_table, "TABLE_BODY").when(t.rlike(r"(?i)^table\s+\d+[:.]?\s*$"), "TABLE_CAPTION").when(t.rlike(r"(?i)^figure\s+\d+[:.]?\s*$"), "FIGURE_CAPTION")
+        .when(listed, "LIST_ITEM").when(bold & (word_count(t) < 10), "HEADING").otherwise("UNKNOWN")
+    )
+
+
+def last_resort(text: Column) -> Column:
+    """The type of a block that even the classifier leaves unknown."""
+    t = F.trim(text)
+    return (
+        F.when(F.lower(text).rlike("table|figure|chart|diagram"), "CAPTION").when((word_count(text) < 5) & text.endswith(":"), "HEADING")
+        .when(t.rlike(r"^\d{1,4}$"), "PAGE_NUMBER").when(t.rlike(r"^[\x{2022}*\x{2023}\x{2043}-]$"), "LIST_ITEM").otherwise("TEXT")
+    )

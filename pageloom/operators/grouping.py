@@ -1,15 +1,13 @@
-"""Ordered grouping on pages: gaps and islands as windows, and growing groups page by page in Arrow batches."""
+"""Ordered grouping on pages: gaps and islands as windows, and growing groups as folds over a page's rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as p
+from .pagewalk import Rule, fold_runs, page_rows, spread, united
 
 PAGE = ["doc_id", "page_number"]
 ORDER = ["y0", "x0", "seq"]
@@ -96,99 +94,89 @@ def list_contexts(elements: DataFrame, type_name: str = "ListItem") -> DataFrame
     return out.withColumns({"list_id": F.when(listed, F.sha2(F.concat_ws(":", F.lit("context"), *PAGE, "grp"), 256)), "list_index": F.when(listed, F.coalesce("number", F.lit(0).cast("long")))}).drop("__s", "grp")
 
 
-def _pagewise(rows: DataFrame, schema: str, f: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [c.name for c in _parse_datatype_string(schema).fields]
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(f(page.sort_values(ORDER).to_dict("records")), columns=names)
-
-    return rows.groupBy(*PAGE).applyInPandas(run, schema)
-
-
 def list_contexts_exact(elements: DataFrame, type_name: str = "ListItem") -> DataFrame:
-    """doc_id, page_number, seq, head_seq, list_index: list contexts with the head's indent carried on."""
-    info = p.list_pattern(F.col("text"))
-    at = elements.select(*PAGE, *ORDER, "y1", "element_type", info["type"].alias("pattern"), info["number"].cast("double").alias("number"))
-
-    def walk(rows: list[dict]) -> list[dict]:
-        out, head, last, bottom = [], None, None, None
-        for r in rows:
-            if r["element_type"] != type_name or r["pattern"] is None:
-                head = None
-                continue
-            number = None if pd.isna(r["number"]) else int(r["number"])
-            near = bottom is None or abs(r["y0"] - bottom) <= 20
-            go = head is not None and near and r["pattern"] == head["pattern"] and abs(r["x0"] - head["x0"]) <= 5 and (r["pattern"] != "number" or number == last + 1)
-            head = head if go else r
-            out.append({**{k: r[k] for k in PAGE}, "seq": r["seq"], "head_seq": head["seq"], "list_index": number or 0})
-            last, bottom = number, r["y1"]
-        return out
+    """doc_id, page_number, seq, head_seq, list_index: list contexts with the head's indent carried on.
 
-    return _pagewise(at, f"doc_id {elements.schema['doc_id'].dataType.simpleString()}, page_number long, seq long, head_seq long, list_index long", walk)
-
-
-MergeRule = Callable[[dict, dict], bool]
+    An item goes on with the list if it has the head's marker and indent, stands close below the last item and,
+    where items are numbered, counts up from it. Anything else ends the list.
+    """
+    info = p.list_pattern(F.col("text"))
+    at = elements.select(*PAGE, *ORDER, "y1", "element_type", info["type"].alias("pattern"), info["number"].alias("number"))
+    row = "struct<seq:bigint,head_seq:bigint,list_index:bigint>"
+    none = "struct<seq:bigint,pattern:string,x0:double>"
+    start = F.struct(F.array().cast(f"array<{row}>").alias("out"), F.lit(None).cast(none).alias("head"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("double").alias("bottom"))
+
+    def step(s: Column, r: Column) -> Column:
+        listed = (r["element_type"] == type_name) & r["pattern"].isNotNull()
+        head = s["head"]
+        near = s["bottom"].isNull() | (F.abs(r["y0"] - s["bottom"]) <= 20)
+        counts = (r["pattern"] != "number") | (r["number"] == s["last"] + 1)
+        go = F.coalesce(head.isNotNull() & near & (r["pattern"] == head["pattern"]) & (F.abs(r["x0"] - head["x0"]) <= 5) & counts, F.lit(False))
+        mine = F.when(go, head).otherwise(F.struct(r["seq"].alias("seq"), r["pattern"].alias("pattern"), r["x0"].alias("x0")))
+        item = F.struct(r["seq"].alias("seq"), mine["seq"].alias("head_seq"), F.coalesce(r["number"], F.lit(0).cast("bigint")).alias("list_index"))
+        return F.struct(
+            F.when(listed, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"), F.when(listed, mine).alias("head"), F.when(listed, r["number"]).otherwise(s["last"]).alias("last"), F.when(listed, r["y1"]).otherwise(s["bottom"]).alias("bottom")
+        )
+
+    pages = page_rows(at, tuple(ORDER)).withColumn("rows", F.aggregate("rows", start, step, lambda s: s["out"]))
+    return spread(pages, [*PAGE, "seq", "head_seq", "list_index"])
+
+
+def merge_runs(blocks: DataFrame, rule: Rule, joint: Rule = lambda a, b: F.concat(a, F.lit(" "), b)) -> DataFrame:
+    """Walks a page in order; a block that the rule ties to the current group joins it, and the group's box grows."""
 
+    def merge(a: Column, b: Column) -> Column:
+        return united(a, b).withField("text", joint(a["text"], b["text"]))
 
-def merge_runs(blocks: DataFrame, rule: MergeRule, joint: Callable[[str, str], str] = lambda a, b: f"{a} {b}", grow: bool = True) -> DataFrame:
-    """Walks a page in order; a block that the rule ties to the current group joins it, and the group's box grows."""
+    return spread(fold_runs(page_rows(blocks, tuple(ORDER)), rule, merge), blocks.columns)
 
-    def walk(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            if out and rule(out[-1], r):
-                a = out[-1]
-                if grow:
-                    a.update(x0=min(a["x0"], r["x0"]), y0=min(a["y0"], r["y0"]), x1=max(a["x1"], r["x1"]), y1=max(a["y1"], r["y1"]))
-                a["text"] = joint(a["text"], r["text"])
-            else:
-                out.append(dict(r))
-        return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields)
-    return _pagewise(blocks, schema, walk)
+def _small(text: Column) -> Column:
+    return text.rlike(r"^\p{Ll}")
 
 
-def dehyphenating(a: str, b: str) -> str:
-    return a[:-1] + b if a.endswith("-") and b[:1].islower() else f"{a} {b}"
+def dehyphenating(a: Column, b: Column) -> Column:
+    return F.when(a.endswith("-") & _small(b), F.concat(F.substr(a, F.lit(1), F.char_length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
-def region_rule(a: dict, b: dict, line_height: float = 12.0, char_width: float = 6.0) -> bool:
+def region_rule(a: Column, b: Column, line_height: float = 12.0, char_width: float = 6.0) -> Column:
     """Regions: a small gap, aligned left sides, one font and size."""
-    return b["y0"] - a["y1"] <= 1.5 * line_height and abs(a["x0"] - b["x0"]) <= 2 * char_width and abs(a["font_size"] - b["font_size"]) <= 0.5 and a["font_name"] == b["font_name"]
+    return (b["y0"] - a["y1"] <= 1.5 * line_height) & (F.abs(a["x0"] - b["x0"]) <= 2 * char_width) & (F.abs(a["font_size"] - b["font_size"]) <= 0.5) & (a["font_name"] == b["font_name"])
 
 
-def element_rule(a: dict, b: dict) -> bool:
+def element_rule(a: Column, b: Column) -> Column:
     """Elements: gaps and offsets in proportion to the font."""
-    return b["y0"] - a["y1"] <= 1.5 * a["font_size"] and abs(a["x0"] - b["x0"]) < a["font_size"] and a["font_name"] == b["font_name"] and abs(a["font_size"] - b["font_size"]) < 0.5
+    return (b["y0"] - a["y1"] <= 1.5 * a["font_size"]) & (F.abs(a["x0"] - b["x0"]) < a["font_size"]) & (a["font_name"] == b["font_name"]) & (F.abs(a["font_size"] - b["font_size"]) < 0.5)
 
 
-def text_block_rule(a: dict, b: dict) -> bool:
+def text_block_rule(a: Column, b: Column) -> Column:
     """Text blocks: near, overlapping, of one font, and the second goes on where the first breaks off."""
-    over = min(a["x1"], b["x1"]) > max(a["x0"], b["x0"])
-    goes_on = a["text"].endswith("-") or b["text"][:1].islower() or not a["text"].rstrip().endswith((".", "!", "?", ":"))
-    return 0 <= b["y0"] - a["y1"] <= 15 and over and a["font_name"] == b["font_name"] and abs(a["font_size"] - b["font_size"]) < 0.5 and goes_on
+    over = F.least(a["x1"], b["x1"]) > F.greatest(a["x0"], b["x0"])
+    goes_on = a["text"].endswith("-") | _small(b["text"]) | ~a["text"].rlike(r"[.!?:]\s*$")
+    return (b["y0"] - a["y1"]).between(0, 15) & over & (a["font_name"] == b["font_name"]) & (F.abs(a["font_size"] - b["font_size"]) < 0.5) & goes_on
 
 
-def list_absorb_rule(a: dict, b: dict) -> bool:
+def list_absorb_rule(a: Column, b: Column) -> Column:
     """List items whose box lies, but for a small slack, in the one before as grown."""
     dx, dy = (a["x1"] - a["x0"]) * 0.08, (a["y1"] - a["y0"]) * 0.12
-    inside = b["x0"] > a["x0"] - dx and b["x1"] < a["x1"] + dx and b["y0"] > a["y0"] - dy and b["y1"] < a["y1"] + dy
-    return a["element_type"] == b["element_type"] == "LIST_ITEM" and inside
+    inside = (b["x0"] > a["x0"] - dx) & (b["x1"] < a["x1"] + dx) & (b["y0"] > a["y0"] - dy) & (b["y1"] < a["y1"] + dy)
+    return (a["element_type"] == "LIST_ITEM") & (b["element_type"] == "LIST_ITEM") & inside
+
+
+#: a bullet, or a number with its mark as the first word
+WRAP_START = r"^[\x{2022}*\x{00B7}-]|^\d+[.:)]+(?: |$)"
 
 
-def wrapped_list_rule(a: dict, b: dict, starts: Callable[[str], bool]) -> bool:
+def wrapped_list_rule(a: Column, b: Column) -> Column:
     """A line that goes on under the text of a list item."""
-    return starts(a["text"]) and not starts(b["text"]) and abs(a["y1"] - b["y0"]) <= 5 and abs(b["x0"] - (a["x0"] + 20)) <= 5 and a["font_name"] == b["font_name"]
+    return a["text"].rlike(WRAP_START) & ~b["text"].rlike(WRAP_START) & (F.abs(a["y1"] - b["y0"]) <= 5) & (F.abs(b["x0"] - (a["x0"] + 20)) <= 5) & (a["font_name"] == b["font_name"])
 
 
-def context_list_rule(a: dict, b: dict) -> bool:
+def context_list_rule(a: Column, b: Column) -> Column:
     """Context lists: the next item, or a text that continues the item before, indented by up to 50 points."""
     step = b["x0"] - a["x0"]
-    near = 0 <= b["y0"] - a["y1"] <= 20
-    return near and a["element_type"] == "ListItem" and (b["element_type"] == "ListItem" and abs(step) <= 50 or b["element_type"] != "ListItem" and 0 <= step <= 50 and b["text"][:1].islower())
+    item = b["element_type"] == "ListItem"
+    return (b["y0"] - a["y1"]).between(0, 20) & (a["element_type"] == "ListItem") & ((item & (F.abs(step) <= 50)) | (~item & step.between(0, 50) & _small(b["text"])))
 
 
 def list_levels(elements: DataFrame, type_name: str = "ListItem") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import measures as m
 from . import classify
+from .pagewalk import area, fold_first, fold_runs, page_rows, shared, spread, united
 
 PAGE = ["doc_id", "page_number"]
 _SIDES = ("x0", "y0", "x1", "y1")
@@ -62,92 +60,59 @@ def exact_duplicates_dropped(elements: DataFrame) -> DataFrame:
     return elements.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def _per_page(blocks: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    return blocks.groupBy(*PAGE).applyInPandas(f, blocks.schema)
-
-
 def absorb_overlaps(blocks: DataFrame, share: float = 0.8) -> DataFrame:
     """Blocks that mostly cover each other become one, the first of them; greedy and not transitive."""
+    own = blocks.withColumn("own", F.struct(*_SIDES))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("seq").to_dict("records")
-        gone, out = set(), []
-        for i, a in enumerate(rows):
-            if i in gone:
-                continue
-            box, text = [a[s] for s in _SIDES], a["text"]
-            for j in range(i + 1, len(rows)):
-                b = rows[j]
-                if j in gone:
-                    continue
-                w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-                h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-                shared = max(0.0, w) * max(0.0, h)
-                sizes = [max((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 1e-8) for r in (a, b)]
-                if shared / sizes[0] > share or shared / sizes[1] > share:
-                    gone.add(j)
-                    text = f"{text} {b['text']}"
-                    box = [min(box[0], b["x0"]), min(box[1], b["y0"]), max(box[2], b["x1"]), max(box[3], b["y1"])]
-            out.append({**a, "text": text, **dict(zip(_SIDES, box))})
-        return pd.DataFrame(out, columns=page.columns)
-
-    return _per_page(blocks, run)
+    def covers(a: Column, b: Column) -> Column:
+        both = shared(a["own"], b["own"])
+        return (both / F.greatest(area(a["own"]), F.lit(1e-8)) > share) | (both / F.greatest(area(b["own"]), F.lit(1e-8)) > share)
+
+    def merge(a: Column, b: Column) -> Column:
+        return united(a, b).withField("text", F.concat(a["text"], F.lit(" "), b["text"]))
+
+    return spread(fold_first(page_rows(own, ("seq",)), covers, merge), blocks.columns)
 
 
 def merge_growing(boxes: DataFrame, overlap: float = 0.7) -> DataFrame:
     """Greedy merging in order: a box grows by each later one whose IoU with it, as grown, is high."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("seq").to_dict("records")
-        i = 0
-        while i < len(rows):
-            a, j = rows[i], i + 1
-            while j < len(rows):
-                b = rows[j]
-                w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-                h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-                shared = max(0.0, w) * max(0.0, h)
-                union = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"]) + (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) - shared
-                if shared > 0 and shared / union > overlap:
-                    a.update(x0=min(a["x0"], b["x0"]), y0=min(a["y0"], b["y0"]), x1=max(a["x1"], b["x1"]), y1=max(a["y1"], b["y1"]))
-                    rows.pop(j)
-                else:
-                    j += 1
-            i += 1
-        return pd.DataFrame(rows, columns=page.columns)
-
-    return _per_page(boxes, run)
+    def covers(a: Column, b: Column) -> Column:
+        both = shared(a, b)
+        return (both > 0) & (both / (area(a) + area(b) - both) > overlap)
+
+    return spread(fold_first(page_rows(boxes, ("seq",)), covers, united), boxes.columns)
 
 
 def merge_touching(elements: DataFrame, gap: float = 5.0, overlap: float = 0.1) -> DataFrame:
     """Drawn boxes: an element joins the page's current group of its type if it is close to or overlaps any member."""
+    own = elements.withColumns({"own": F.struct(*_SIDES), "boxes": F.array(F.struct(*_SIDES)), "first": F.col("seq")})
+
+    def touches(a: Column, b: Column) -> Column:
+        return (a["element_type"] == b["element_type"]) & F.exists(a["boxes"], lambda o: _touch(b["own"], o, gap, overlap))
+
+    def merge(a: Column, b: Column) -> Column:
+        # of the members the largest lends what isn't united, the first of equal ones
+        larger = area(b["own"]) > area(a["own"])
+        text = F.concat(a["text"], F.lit(" "), b["text"])
+        boxes, first = F.concat(a["boxes"], b["boxes"]), F.least(a["first"], b["first"])
+        return F.when(larger, _group(b, united(a, b), text, boxes, first)).otherwise(_group(a, united(a, b), text, boxes, first))
+
+    return spread(fold_runs(page_rows(own, ("y0", "x0", "seq")), touches, merge), [*own.columns]).withColumn("seq", F.col("first")).select(elements.columns)
+
+
+def _group(like: Column, box: Column, text: Column, boxes: Column, first: Column) -> Column:
+    for side in _SIDES:
+        like = like.withField(side, box[side])
+    return like.withField("text", text).withField("boxes", boxes).withField("first", first)
+
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(["y0", "x0", "seq"]).to_dict("records")
-        groups: list[list[dict]] = []
-        for r in rows:
-            now = groups[-1] if groups and groups[-1][0]["element_type"] == r["element_type"] else None
-            if now and any(_touch(r, o, gap, overlap) for o in now):
-                now.append(r)
-            else:
-                groups.append([r])
-        out = []
-        for members in groups:
-            widest = max(members, key=lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"]))
-            out.append({**widest, "seq": min(r["seq"] for r in members), "text": " ".join(r["text"] for r in members), "x0": min(r["x0"] for r in members), "y0": min(r["y0"] for r in members), "x1": max(r["x1"] for r in members), "y1": max(r["y1"] for r in members)})
-        return pd.DataFrame(out, columns=page.columns)
-
-    return _per_page(elements, run)
-
-
-def _touch(a: dict, b: dict, gap: float, overlap: float) -> bool:
-    dx = max(a["x0"] - b["x1"], b["x0"] - a["x1"], 0.0)
-    dy = max(a["y0"] - b["y1"], b["y0"] - a["y1"], 0.0)
-    if dx == 0 and dy == 0:
-        shared = (min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * (min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
-        union = (a["x1"] - a["x0"]) * (a["y1"] - a["y0"]) + (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) - shared
-        return union > 0 and shared / union > overlap or (dx + dy) <= gap
-    return max(dx, dy) <= gap
+def _touch(a: Column, b: Column, gap: float, overlap: float) -> Column:
+    dx = F.greatest(a["x0"] - b["x1"], b["x0"] - a["x1"], F.lit(0.0))
+    dy = F.greatest(a["y0"] - b["y1"], b["y0"] - a["y1"], F.lit(0.0))
+    both = shared(a, b)
+    union = area(a) + area(b) - both
+    return F.when((dx == 0) & (dy == 0), F.lit(gap >= 0) | ((union > 0) & (both / union > overlap))).otherwise(F.greatest(dx, dy) <= gap)
 
 
 def figure_captions(figures: DataFrame, blocks: DataFrame, nearest: int = 10) -> DataFrame:

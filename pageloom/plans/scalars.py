@@ -188,7 +188,14 @@ def t02_whitespace_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", c.extra_whitespace_moved(F.col("text")).alias("w")).select("doc_id", "w.text", F.array_max("w.moved").alias("dropped"))
 
 
-@query()
+_PARAGRAPH = rf"""CASE WHEN regexp_matches(regexp_replace(p, '^\s+|\s+$', '', 'g'), '^(?:{_BUL}|e\s)') THEN list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(p, '^e\s', '·'), '^\s+|\s+$', '', 'g'), '{_BUL}'), lambda x: x <> ''), lambda x: replace(x, chr(10), ' '))
+ WHEN len(list_filter(string_split(p, chr(10)), lambda x: len(list_filter(regexp_split_to_array(x, '{_WS}'), lambda w: w <> '')) >= 5)) = 0 THEN list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, '\S')) ELSE [replace(p, chr(10), ' ')] END"""
+_BROKEN = rf"array_to_string(flatten(list_transform(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_matches(p, '\S')), lambda p: {_PARAGRAPH})), chr(10) || chr(10))"
+
+
+@query(rf"""WITH pg AS (SELECT doc_id, text, {_BROKEN} AS broken FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '^e\s', '·'), '^\s+|\s+$', '', 'g'), '{_BUL}'), lambda x: x <> ''), lambda x: replace(x, chr(10), ' ')), chr(10)) AS bulleted, broken,
+ CASE WHEN len(list_filter(string_split(text, chr(10))[:2000], lambda x: NOT regexp_matches(x, '\S')))::DOUBLE / len(string_split(text, chr(10))[:2000]) < 0.1 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10) || chr(10)) ELSE broken END AS auto FROM pg""")
 def t13_paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bullet, broken and automatic paragraph grouping."""
     t = F.col("text")
@@ -199,26 +206,30 @@ def _all(pattern: str, group: int = 0) -> str:
     return f"array_to_string(regexp_extract_all(text, {lit(pattern)}, {group}), ' ')"
 
 
-@query(rf"""SELECT doc_id, {_all(c.EMAIL)} AS emails, {_all(chr(92) + 'b' + c.IP + chr(92) + 'b')} AS ips, regexp_extract(text, {lit(chr(92) + 'b' + c.PHONE + chr(92) + 'b')}, 0) AS phone,
- {_all(c.MAPI_ID, 1)} AS mapi FROM documents WHERE text IS NOT NULL""")
+@query(with_layout(rf"""SELECT doc_id, seq, {_all(c.EMAIL)} AS emails, {_all(chr(92) + 'b' + c.IP + chr(92) + 'b')} AS ips, regexp_extract(text, {lit(chr(92) + 'b' + c.PHONE + chr(92) + 'b')}, 0) AS phone,
+ {_all(c.MAPI_ID, 1)} AS mapi FROM blocks"""))
 def t15_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses, IPs, the first phone number, MAPI ids of whole texts."""
+    """Addresses, IPs, the first phone number, MAPI ids of every block."""
     t = F.col("text")
     join = lambda x: F.array_join(x, " ")
-    return _texts(spark, sf_dir).select("doc_id", join(c.emails(t)).alias("emails"), join(c.ip_addresses(t)).alias("ips"), join(c.phone_numbers(t)).alias("phone"), join(c.mapi_ids(t)).alias("mapi"))
+    return load_blocks(spark, sf_dir).select("doc_id", "seq", join(c.emails(t)).alias("emails"), join(c.ip_addresses(t)).alias("ips"), join(c.phone_numbers(t)).alias("phone"), join(c.mapi_ids(t)).alias("mapi"))
 
 
-@query(f"SELECT page_id, array_to_string(regexp_extract_all(html, {lit(c.IMG)}, 1), ' ') AS urls FROM pages")
+@query(with_layout(f"SELECT 'block' AS place, doc_id AS id, seq, array_to_string(regexp_extract_all(text, {lit(c.IMG)}, 1), ' ') AS urls FROM blocks UNION ALL SELECT 'page', page_id, 0, array_to_string(regexp_extract_all(html, {lit(c.IMG)}, 1), ' ') FROM pages"))
 def t19_image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(c.image_urls(F.col("html")), " ").alias("urls"))
+    """The images of every block and of every web page."""
+    urls = lambda text: F.array_join(c.image_urls(F.col(text)), " ").alias("urls")
+    web = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("place"), F.col("page_id").alias("id"), F.lit(0).cast("long").alias("seq"), urls("html"))
+    return load_blocks(spark, sf_dir).select(F.lit("block").alias("place"), F.col("doc_id").alias("id"), "seq", urls("text")).unionByName(web)
 
 
-@query("""SELECT doc_id, CASE WHEN contains(text, ', ') THEN regexp_replace(string_split(text, ', ')[1], '\\s+$', '') END AS before,
- CASE WHEN contains(text, ', ') THEN regexp_replace(substr(text, instr(text, ', ') + 2), '^\\s+', '') END AS after, CAST(NULL AS TIMESTAMP) AS dated FROM documents WHERE text IS NOT NULL""")
+@query(with_layout(r"""SELECT doc_id, seq, CASE WHEN contains(text, ', ') THEN regexp_replace(string_split(text, ', ')[1], '\s+$', '') END AS before,
+ CASE WHEN contains(text, ', ') THEN regexp_replace(substr(text, instr(text, ', ') + 2), '^\s+', '') END AS after,
+ epoch(try_strptime(nullif(regexp_extract(text, '[A-Za-z]{3}, ([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4})', 1), ''), '%d %b %Y %H:%M:%S %z'))::BIGINT AS dated FROM blocks"""))
 def t21_text_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands before and after a pattern, and the first mail date."""
+    """What stands before and after a pattern, and the first mail date in seconds."""
     t = F.col("text")
-    return _texts(spark, sf_dir).select("doc_id", c.text_before(t, ", ").alias("before"), c.text_after(t, ", ").alias("after"), c.first_date(t).cast("timestamp_ntz").alias("dated"))
+    return load_blocks(spark, sf_dir).select("doc_id", "seq", c.text_before(t, ", ").alias("before"), c.text_after(t, ", ").alias("after"), F.unix_timestamp(c.first_date(t)).alias("dated"))
 
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '\p{L}'))"
