@@ -20,9 +20,15 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def words(text: Column) -> Column:
-    """Blank-separated tokens with at least one letter."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"\p{L}"))
+#: a blank-separated token with a letter; one of them that begins with a capital or has no small letter; the rest
+_WORD = r"\S*\p{L}\S*"
+_CAPITAL = r"(?<!\S)(?:\p{Lu}\S*|(?=\S*\p{L})[^\s\p{Ll}]+(?!\S))"
+_BESIDE = r"(?<!\S)[^\s\p{L}]+(?!\S)|\s+"
+
+
+def word_total(text: Column) -> Column:
+    """The number of blank-separated tokens with at least one letter."""
+    return count(text, _WORD)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,13 +44,11 @@ def special_ratio(text: Column) -> Column:
 
 
 def cap_ratio(text: Column) -> Column:
-    w = words(text)
-    return ratio(F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}") | ~x.rlike(r"\p{Ll}"))), F.size(w))
+    return ratio(count(text, _CAPITAL), word_total(text))
 
 
 def average_word_length(text: Column) -> Column:
-    w = words(text)
-    return ratio(F.aggregate(w, F.lit(0), lambda n, x: n + F.char_length(x)), F.size(w))
+    return ratio(F.char_length(F.regexp_replace(text, _BESIDE, "")), word_total(text))
 
 
 def sentence_count(text: Column, min_words: int = 0) -> Column:
@@ -53,18 +57,22 @@ def sentence_count(text: Column, min_words: int = 0) -> Column:
     return F.size(parts) if not min_words else F.size(F.filter(parts, lambda s: F.size(F.split(F.trim(s), r"\s+")) >= min_words))
 
 
-def _plain_words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z]+", " "), " "), lambda w: w != "")
+_VERB = "|".join((*VERBS, VERB_ENDING[1:-1]))
+
+
+def _alone(alternatives: str) -> str:
+    """Words of small letters that are one of the alternatives."""
+    return rf"(?<![a-z])(?:{alternatives})(?![a-z])"
 
 
 def has_verb(text: Column) -> Column:
-    return F.exists(_plain_words(text), lambda w: w.isin(*VERBS) | w.rlike(VERB_ENDING))
+    return F.lower(text).rlike(_alone(_VERB))
 
 
 def noun_ratio(text: Column) -> Column:
     """The share of words that are neither verbs nor stop words."""
-    w = _plain_words(text)
-    return ratio(F.size(F.filter(w, lambda x: ~(x.isin(*VERBS) | x.rlike(VERB_ENDING) | x.isin(*STOP_WORDS)))), F.size(w))
+    n = count(F.lower(text), "[a-z]+")
+    return ratio(n - count(F.lower(text), _alone("|".join((_VERB, *STOP_WORDS)))), n)
 
 
 def title_case(text: Column) -> Column:
@@ -78,14 +86,20 @@ def all_caps(text: Column) -> Column:
 def text_stats(text: Column) -> Column:
     """All nine measures; zeros and false for an empty text."""
     named = {
-        "alpha_ratio": alpha_ratio(text), "cap_ratio": cap_ratio(text), "special_ratio": special_ratio(text), "word_count": F.size(words(text)), "sentence_count": sentence_count(text),
+        "alpha_ratio": alpha_ratio(text), "cap_ratio": cap_ratio(text), "special_ratio": special_ratio(text), "word_count": word_total(text), "sentence_count": sentence_count(text),
         "avg_word_length": average_word_length(text), "has_verb": has_verb(text), "is_title_case": title_case(text), "is_all_caps": all_caps(text),
     }
     return F.struct(*[c.alias(k) for k, c in named.items()])
 
 
+def text_metrics(text: Column) -> Column:
+    """Mean word length, share of words with a capital first, and of . , ; : ! ? in all but the blanks."""
+    words, chars = count(text, r"\S+"), count(text, r"\S")
+    return F.struct(ratio(chars, words).alias("avg_word_length"), ratio(count(text, r"(?<!\S)\p{Lu}"), words).alias("cap_ratio"), ratio(count(text, "[.,;:!?]"), chars).alias("punct_ratio"))
+
+
 def exceeds_cap_ratio(text: Column, threshold: float = 0.5) -> Column:
-    return F.when(all_caps(text), True).when(sentence_count(text) > 1, False).when(F.size(words(text)) == 0, True).otherwise(cap_ratio(text) > threshold)
+    return F.when(all_caps(text), True).when(sentence_count(text) > 1, False).when(word_total(text) == 0, True).otherwise(cap_ratio(text) > threshold)
 
 
 def under_alpha_ratio(text: Column, threshold: float = 0.5) -> Column:

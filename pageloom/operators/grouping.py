@@ -202,3 +202,13 @@ def continuity(blocks: DataFrame) -> DataFrame:
         "continues_item": p.matches(q["text"], p.LIST_START) & (F.abs(F.col("x0") - q["x0"]) < 5) & (gap < 20) & (lower | F.col("text").rlike(r"(?i)^(?:and|or|but|nor|yet|so)\s")),
     }
     return blocks.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+
+
+def listed_runs(blocks: DataFrame) -> DataFrame:
+    """is_list_item: a list mark begins a run, and blocks close below each other go on with it by their wording."""
+    q = previous("x0", "y1")
+    marked = p.listed(F.col("text"))
+    linked = (F.abs(F.col("x0") - q["x0"]) < 5) & (F.abs(F.col("y0") - q["y1"]) < 20) & p.listed_on(F.col("text"))
+    out = islands(blocks.withColumns({"__m": marked, "__s": marked | ~F.coalesce(linked, F.lit(False))}), F.col("__s"))
+    run = W.partitionBy(*PAGE, "grp")
+    return out.withColumn("is_list_item", F.bool_or("__m").over(run)).drop("__m", "__s", "grp")

@@ -173,11 +173,33 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 def repeated_texts(blocks: DataFrame, least: float = 0.85) -> DataFrame:
     """Margin blocks that recur in like wording on other pages of the document, with those pages.
 
-    Margin blocks are few on a page, and the join is by document, so lengths are tested before the words.
+    Texts are compared once each, whatever the number of pages that carry them: a running header is one text.
     """
     margin = blocks.where((F.col("y0") < F.col("page_height") * 0.1) | (F.col("y1") > F.col("page_height") * 0.9))
-    right = margin.select(F.col("doc_id").alias("r_doc_id"), F.col("page_number").alias("r_page_number"), F.col("text").alias("r_text"))
+    texts = margin.groupBy("doc_id", "text").agg(F.collect_set("page_number").alias("on"))
+    right = texts.select(F.col("doc_id").alias("r_doc_id"), F.col("text").alias("r_text"), F.col("on").alias("r_on"))
     near = F.least(F.char_length("text"), F.char_length("r_text")) * 2 >= F.greatest(F.char_length("text"), F.char_length("r_text"))
-    pairs = margin.join(right, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page_number") != F.col("r_page_number")) & near)
-    hit = pairs.where(m.similarity(F.col("text"), F.col("r_text")) > least)
-    return hit.groupBy(*PAGE, "seq").agg(F.array_sort(F.collect_set("r_page_number")).alias("cross_page_refs"))
+    pairs = texts.join(right, (F.col("doc_id") == F.col("r_doc_id")) & near).where((F.col("text") == F.col("r_text")) | (m.similarity(F.col("text"), F.col("r_text")) > least))
+    found = pairs.groupBy("doc_id", "text").agg(F.array_distinct(F.flatten(F.collect_list("r_on"))).alias("all_pages"))
+    refs = F.array_sort(F.array_remove("all_pages", F.col("page_number")))
+    out = margin.select(*PAGE, "seq", "text").join(found, ["doc_id", "text"]).select(*PAGE, "seq", refs.alias("cross_page_refs"))
+    return out.where(F.size("cross_page_refs") > 0)
+
+
+def captions_in_sequence(figures: DataFrame, blocks: DataFrame, reach: int = 4) -> DataFrame:
+    """The caption of a figure among the next four elements of its document, on whatever page, that begins below it.
+
+    Elements are ordered by page and from the top. A caption may owe its score to the figure itself, which is
+    one of the three elements before it.
+    """
+    b = blocks.select("doc_id", "page_number", "seq", *_SIDES, "text", "font_size", "is_italic", F.lit("TEXT").alias("element_type"))
+    f = figures.select("doc_id", "page_number", F.col("image_no").alias("seq"), *_SIDES, F.lit("FIGURE").alias("element_type"))
+    every = b.unionByName(f, allowMissingColumns=True)
+    w = W.partitionBy("doc_id").orderBy("page_number", "y0", "x0", "element_type", "seq")
+    near = F.struct(*_SIDES, "element_type")
+    at = every.withColumn("before", F.collect_list(near).over(w.rowsBetween(-3, -1)))
+    cap = classify.caption_score(F.col("text"), g.Box.of(), F.col("x1") * 2, F.col("font_size"), F.lit(12.0), F.col("is_italic"), classify._near_figure(F.col("before"), g.Box.of()))
+    marked = at.withColumn("likely", F.coalesce((F.col("element_type") == "TEXT") & cap["likely"], F.lit(False)))
+    after = marked.withColumn("after", F.collect_list(F.struct("page_number", "seq", "y0", "likely")).over(w.rowsBetween(1, reach))).where("element_type = 'FIGURE'")
+    first = F.get(F.filter("after", lambda e: e["likely"] & (e["y0"] > F.col("y1"))), F.lit(0))
+    return after.withColumn("c", first).where("c is not null").select("doc_id", "page_number", F.col("seq").alias("image_no"), F.col("c.page_number").alias("caption_page"), F.col("c.seq").alias("caption_seq"))

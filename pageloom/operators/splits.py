@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -31,58 +30,72 @@ def _box(c: Column) -> Column:
     return F.struct(*[c[n].alias(n) for n in ("x0", "y0", "x1", "y1")])
 
 
-def _marker(rows: DataFrame, kind: str, source: Column, target: Column | None, confidence: float) -> DataFrame:
+def _marker(test: Column, kind: str, source: Column, target: Column | None, confidence: float) -> Column:
+    """The marker where the test holds, else null."""
     void = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
-    return rows.select("doc_id", F.lit(kind).alias("split_type"), F.col("page_number").alias("source_page"), (F.col("page_number") + 1).alias("target_page"), _box(source).alias("source_bbox"), (void if target is None else _box(target)).alias("target_bbox"), F.lit(confidence).alias("confidence"))
+    return F.when(test, F.struct(F.lit(kind).alias("split_type"), _box(source).alias("source_bbox"), (void if target is None else _box(target)).alias("target_bbox"), F.lit(confidence).alias("confidence")))
 
 
-def continuations(at: DataFrame) -> DataFrame:
+def continuations() -> list[Column]:
     """One marker for every continuation phrase in the last or the next first block."""
-    each = at.select("*", F.explode(F.array("a_last", "b_first")).alias("c")).select("*", F.explode(F.array(*map(F.lit, range(len(p.CONTINUED))))).alias("k"))
-    hit = reduce(lambda x, y: x | y, [(F.col("k") == k) & F.col("c.text").rlike(q) for k, q in enumerate(p.CONTINUED)])
-    return _marker(each.where(hit), "CONTINUATION", F.col("c"), None, 0.9)
+    return [_marker(F.col(f"{end}.text").rlike(phrase), "CONTINUATION", F.col(end), None, 0.9) for end in ("a_last", "b_first") for phrase in p.CONTINUED]
 
 
 def _alike(a: Column, b: Column, reach: float) -> Column:
     return (F.abs(a["x0"] - b["x0"]) < reach) & a["font_name"].eqNullSafe(b["font_name"])
 
 
-def repeated_margins(at: DataFrame) -> DataFrame:
+def repeated_margins() -> list[Column]:
     out = []
     for end, kind in (("first", "SPLIT_HEADER"), ("last", "SPLIT_FOOTER")):
         a, b = F.col(f"a_{end}"), F.col(f"b_{end}")
-        out.append(_marker(at.where((F.trim(a["text"]) == F.trim(b["text"])) & _alike(a, b, 20)), kind, a, b, 0.8))
-    return out[0].unionAll(out[1])
+        out.append(_marker((F.trim(a["text"]) == F.trim(b["text"])) & _alike(a, b, 20), kind, a, b, 0.8))
+    return out
 
 
-def split_tables(at: DataFrame) -> DataFrame:
+def split_tables() -> list[Column]:
     a, b = F.col("a_last"), F.col("b_first")
-    return _marker(at.where(a["text"].rlike(p.TABLE_MENTION) & b["text"].rlike(p.TABLE_MENTION)), "SPLIT_TABLE", a, b, 0.85)
+    return [_marker(a["text"].rlike(p.TABLE_MENTION) & b["text"].rlike(p.TABLE_MENTION), "SPLIT_TABLE", a, b, 0.85)]
 
 
-def split_lists(at: DataFrame) -> DataFrame:
+def split_lists() -> list[Column]:
     a, b = F.col("a_last"), F.col("b_first")
     both = (a["element_type"] == "LIST_ITEM") & (b["element_type"] == "LIST_ITEM")
-    return _marker(at.where(both & (F.abs(a["x0"] - b["x0"]) < 10)), "SPLIT_LIST", a, b, 0.9)
+    return [_marker(both & (F.abs(a["x0"] - b["x0"]) < 10), "SPLIT_LIST", a, b, 0.9)]
 
 
-def split_paragraphs(at: DataFrame) -> DataFrame:
+def split_paragraphs() -> list[Column]:
     a, b = F.col("a_last"), F.col("b_first")
     both = (a["element_type"] == "TEXT") & (b["element_type"] == "TEXT")
     open_ = ~F.trim(a["text"]).rlike(r"[.!?]$") & ~F.trim(b["text"]).rlike(r"^[\x{2022}\x{25AA}\x{25AB}\x{25CB}\x{25A0}\x{25A1}\x{25CF}\x{25C6}\x{25C7}\x{25B6}\x{25B7}-]")
-    return _marker(at.where(both & open_ & _alike(a, b, 15) & (F.abs(a["font_size"] - b["font_size"]) < 0.5)), "SPLIT_PARAGRAPH", a, b, 0.8)
+    return [_marker(both & open_ & _alike(a, b, 15) & (F.abs(a["font_size"] - b["font_size"]) < 0.5), "SPLIT_PARAGRAPH", a, b, 0.8)]
 
 
 def split_markers(elements: DataFrame) -> DataFrame:
-    """All markers of all five detectors."""
-    at = breaks(elements)
-    return reduce(DataFrame.unionAll, [f(at) for f in (continuations, repeated_margins, split_tables, split_lists, split_paragraphs)])
+    """All markers of all five detectors, from one pass over the page breaks."""
+    every = F.array(*continuations(), *repeated_margins(), *split_tables(), *split_lists(), *split_paragraphs())
+    each = breaks(elements).select("doc_id", "page_number", F.explode(F.filter(every, lambda m: m.isNotNull())).alias("m"))
+    return each.select("doc_id", "m.split_type", F.col("page_number").alias("source_page"), (F.col("page_number") + 1).alias("target_page"), "m.source_bbox", "m.target_bbox", "m.confidence")
 
 
 def marker_order() -> list[Column]:
     return [F.col("source_page").asc(), F.col("source_bbox.y0").desc()]
 
 
+def in_order(markers: DataFrame) -> DataFrame:
+    """position: the place of each marker in its document by source page, and from the lowest source box up."""
+    w = W.partitionBy("doc_id").orderBy(*marker_order(), "split_type", "target_page", F.to_json("target_bbox"))
+    return markers.withColumn("position", F.row_number().over(w))
+
+
+def continuing(markers: DataFrame) -> DataFrame:
+    return markers.where(F.col("split_type") == "CONTINUATION")
+
+
+def splitting(markers: DataFrame) -> DataFrame:
+    return markers.where(F.col("split_type") != "CONTINUATION")
+
+
 def of_page(markers: DataFrame, page: int) -> DataFrame:
     return markers.where((F.col("source_page") == page) | (F.col("target_page") == page))
 

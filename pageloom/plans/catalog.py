@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import elements, scalars
+from . import elements, more, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**scalars.QUERIES, **elements.QUERIES}
-ORACLE: dict[str, str] = {**scalars.ORACLE, **elements.ORACLE}
+QUERIES: dict[str, Query] = {**scalars.QUERIES, **elements.QUERIES, **more.QUERIES}
+ORACLE: dict[str, str] = {**scalars.ORACLE, **elements.ORACLE, **more.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def _listed(spark: SparkSession, sf_dir: str, name: str = "LIST_ITEM") -> DataFr
     return load_blocks(spark, sf_dir).withColumn("element_type", F.when(p.list_item(F.col("text")), name).otherwise("TEXT"))
 
 
-def _running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the page numbers, which would always be a page's last block."""
     return _without_folios(_listed(spark, sf_dir))
 
@@ -467,7 +467,7 @@ def c02_fallback_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = _LISTED + """, pe AS (SELECT doc_id, page_number, arg_min(b, (b.y0, b.x0, b.seq)) AS f, arg_max(b, (b.y0, b.x0, b.seq)) AS l FROM (SELECT doc_id, page_number, struct_pack(seq, text, x0, y0, x1, y1, font_name, font_size, element_type) AS b FROM li WHERE NOT (abs((x0 + x1) / 2 - page_width / 2) < page_width * 0.15 AND y0 > page_height * 0.85 AND regexp_matches(trim(text), '^\\d{1,5}$'))) GROUP BY ALL
 ), br AS (SELECT a.doc_id, a.page_number, a.f AS af, a.l AS al, b.f AS bf, b.l AS bl FROM pe a JOIN pe b ON a.doc_id = b.doc_id AND a.page_number + 1 = b.page_number)"""
 _CONT = " UNION ALL ".join(f"SELECT doc_id, page_number, 'CONTINUATION' AS split_type, 0.9 AS confidence, {side} AS source, NULL AS target FROM br WHERE {rx(f'{side}.text', c)}" for side in ("al", "bf") for c in p.CONTINUED)
-_MARKERS = _SPLIT + rf""", mk AS ({_CONT}
+MARKERS_SQL = _SPLIT + rf""", mk AS ({_CONT}
  UNION ALL SELECT doc_id, page_number, 'SPLIT_HEADER', 0.8, af, bf FROM br WHERE trim(af.text) = trim(bf.text) AND abs(af.x0 - bf.x0) < 20 AND af.font_name = bf.font_name
  UNION ALL SELECT doc_id, page_number, 'SPLIT_FOOTER', 0.8, al, bl FROM br WHERE trim(al.text) = trim(bl.text) AND abs(al.x0 - bl.x0) < 20 AND al.font_name = bl.font_name
  UNION ALL SELECT doc_id, page_number, 'SPLIT_TABLE', 0.85, al, bf FROM br WHERE {rx('al.text', p.TABLE_MENTION)} AND {rx('bf.text', p.TABLE_MENTION)}
@@ -475,20 +475,20 @@ _MARKERS = _SPLIT + rf""", mk AS ({_CONT}
  UNION ALL SELECT doc_id, page_number, 'SPLIT_PARAGRAPH', 0.8, al, bf FROM br WHERE al.element_type = 'TEXT' AND bf.element_type = 'TEXT' AND NOT regexp_matches(trim(al.text), '[.!?]$') AND NOT regexp_matches(trim(bf.text), '^[\x{{2022}}\x{{25AA}}\x{{25AB}}\x{{25CB}}\x{{25A0}}\x{{25A1}}\x{{25CF}}\x{{25C6}}\x{{25C7}}\x{{25B6}}\x{{25B7}}-]') AND abs(al.x0 - bf.x0) < 15 AND al.font_name = bf.font_name AND abs(al.font_size - bf.font_size) < 0.5)"""
 
 
-@query(with_layout(_MARKERS + """
+@query(with_layout(MARKERS_SQL + """
 SELECT doc_id, page_number AS source_page, page_number + 1 AS target_page, split_type, confidence::DOUBLE AS confidence FROM mk"""))
 def x06_split_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All split detectors."""
-    return splits.split_markers(_running_text(spark, sf_dir)).select("doc_id", "source_page", "target_page", "split_type", "confidence")
+    return splits.split_markers(running_text(spark, sf_dir)).select("doc_id", "source_page", "target_page", "split_type", "confidence")
 
 
-@query(with_layout(_MARKERS + """, sides AS (SELECT doc_id, page_number, split_type, confidence, 'source' AS role, source AS s FROM mk UNION ALL SELECT doc_id, page_number + 1, split_type, confidence, 'target', target FROM mk WHERE target IS NOT NULL
+@query(with_layout(MARKERS_SQL + """, sides AS (SELECT doc_id, page_number, split_type, confidence, 'source' AS role, source AS s FROM mk UNION ALL SELECT doc_id, page_number + 1, split_type, confidence, 'target', target FROM mk WHERE target IS NOT NULL
 ), hit AS (SELECT e.doc_id, e.page_number, e.seq, struct_pack(split_type, role, confidence) AS m FROM li e JOIN sides USING (doc_id, page_number) WHERE NOT (abs((x0 + x1) / 2 - page_width / 2) < page_width * 0.15 AND y0 > page_height * 0.85 AND regexp_matches(trim(text), '^\\d{1,5}$'))
  AND greatest(0, least(e.x1, s.x1) - greatest(e.x0, s.x0)) * greatest(0, least(e.y1, s.y1) - greatest(e.y0, s.y0)) / ((e.x1 - e.x0) * (e.y1 - e.y0)) > 0.7)
 SELECT doc_id, page_number, seq, '[' || array_to_string(list_transform(ms, lambda m: '{"split_type":"' || m.split_type || '","role":"' || m.role || '","confidence":' || m.confidence::DOUBLE || '}'), ',') || ']' AS splits FROM (SELECT doc_id, page_number, seq, list_sort(list(m)) AS ms FROM hit GROUP BY ALL)"""))
 def j08_split_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers tied to the elements that they cover."""
-    elements = _running_text(spark, sf_dir)
+    elements = running_text(spark, sf_dir)
     out = splits.annotate(elements, splits.split_markers(elements)).where("splits is not null")
     return out.select(*_KEY, F.to_json("splits").alias("splits"))
 
@@ -509,10 +509,7 @@ def src14_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_layout(FAST_SQL + """ SELECT doc_id, page_number, '{"page_number":' || page_number || ',"elements":[' || string_agg('{"seq":' || seq || ',"element_type":"' || element_type || '"}', ',' ORDER BY y0, x0, seq) || ']}' AS json FROM fast GROUP BY doc_id, page_number"""))
 def src19_page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements grouped by page as JSON (SRC17, SRC19-SRC21, O2)."""
-    elements = classify.fast_elements(load_blocks(spark, sf_dir))
-    row = F.struct("y0", "x0", "seq", F.struct("seq", "element_type").alias("e"))
-    rows = elements.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return rows.select("doc_id", "page_number", F.to_json(F.struct("page_number", F.transform("rows", lambda r: r["e"]).alias("elements"))).alias("json"))
+    return files.page_json(classify.fast_elements(load_blocks(spark, sf_dir)), "seq", "element_type")
 
 
 @query(with_layout(FAST_SQL + """ SELECT doc_id, seq, '{"element_id":"' || sha256(doc_id || '|' || page_number || '|' || seq) || '","type":"' || element_type || '","text":' || to_json(text)::VARCHAR || ',"metadata":{"coordinates":{"points":[{"x":' || x0 || ',"y":' || y0 || '},{"x":' || x0 || ',"y":' || y1 || '},{"x":' || x1 || ',"y":' || y1 || '},{"x":' || x1 || ',"y":' || y0

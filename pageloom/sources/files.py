@@ -95,15 +95,27 @@ def element_id(*parts: str) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def page_json(elements: DataFrame) -> DataFrame:
-    """doc_id, page_number, json: the elements of a page in order, as one JSON text without nulls."""
-    fields = [c for c in elements.columns if c not in ("doc_id", "page_number")]
+def page_json(elements: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, page_number, json: the elements of a page in order, all fields or some, as one JSON text without nulls."""
+    fields = fields or tuple(c for c in elements.columns if c not in ("doc_id", "page_number"))
     row = F.struct("y0", "x0", "seq", F.struct(*fields).alias("e"))
     rows = elements.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     listed = F.transform("rows", lambda r: r["e"])
     return rows.select("doc_id", "page_number", F.to_json(F.struct("page_number", listed.alias("elements"))).alias("json"))
 
 
+def element_json(elements: DataFrame) -> DataFrame:
+    """doc_id, seq, json: every element on its own, an unknown type as TEXT, with style, coordinates and what else is known."""
+    style = F.struct("font_name", "font_size", "is_bold", "is_italic")
+    across, down = F.round(F.col("x0") / F.col("page_width"), 4), F.round(F.col("y0") / F.col("page_height"), 4)
+    place = F.struct("x0", "y0", "x1", "y1", "page_width", "page_height", across.alias("relative_x"), down.alias("relative_y"), across.alias("indent_ratio"))
+    more = [c for c in ("confidence", "title_level", "list_group_id", "cross_page_refs") if c in elements.columns]
+    meta = F.struct(style.alias("style"), place.alias("coordinates"), "page_number", *more)
+    kind = F.when(F.col("element_type") != "UNKNOWN", F.col("element_type"))
+    row = F.struct(F.coalesce(kind, F.lit("TEXT")).alias("type"), "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), "page_number", meta.alias("metadata"))
+    return elements.select("doc_id", "seq", F.to_json(row).alias("json"))
+
+
 def write_page_json(elements: DataFrame, path: str) -> None:
     """One JSON object a line, in folders by document."""
     fields = [c for c in elements.columns if c not in ("doc_id", "page_number")]

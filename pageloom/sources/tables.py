@@ -37,3 +37,11 @@ def table_elements(tables: DataFrame) -> DataFrame:
     html = F.regexp_replace(to_html(clean_cells(F.col("cells"))), r"[\r\n]", "")
     out = tables.withColumns({"table_html": html, "n": F.row_number().over(w)}).where("table_html is not null")
     return out.withColumns({"text": F.format_string("[Table %d]", "n"), "element_type": F.lit("TABLE_BODY")}).drop("n", "cells")
+
+
+def summary(tables: DataFrame) -> DataFrame:
+    """doc_id, tables: page, box, accuracy (0 if unknown) and flavor (lattice if unknown) of a document's tables in order."""
+    known = lambda name, other: F.coalesce(F.col(name), F.lit(other)) if name in tables.columns else F.lit(other)
+    row = F.struct(F.col("page_number").alias("page"), F.array("x0", "y0", "x1", "y1").alias("bbox"), known("accuracy", 0.0).alias("accuracy"), known("flavor", "lattice").alias("flavor"))
+    rows = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "table_no", row.alias("t")))).alias("rows"))
+    return rows.select("doc_id", F.col("rows.t").alias("tables"))
