@@ -519,11 +519,11 @@ def src22_polygon_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.polygon_json(classify.fast_elements(load_blocks(spark, sf_dir)))
 
 
-@query("""SELECT event_id, len(list_filter([CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'k is missing' WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'k is not int' END], lambda e: e IS NOT NULL))::BIGINT AS n_errors FROM events""")
+@query("""SELECT event_id, len(list_filter([CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'k is missing' WHEN TRY_CAST(json_extract_string(props, '$.k') AS TINYINT) IS NULL THEN 'k is not tinyint' END, CASE WHEN json_extract_string(props, '$.v') IS NULL THEN 'v is missing' END], lambda e: e IS NOT NULL))::BIGINT AS n_errors FROM events""")
 def src18_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema errors of JSON texts (SRC18)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("props").alias("json"))
-    return files.validate(events, {"k": "int"}).select("event_id", F.size("errors").cast("long").alias("n_errors"))
+    return files.validate(events, {"k": "tinyint", "v": "string"}).select("event_id", F.size("errors").cast("long").alias("n_errors"))
 
 
 @query(r"""WITH hb AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', '', 'g'), '(?is)<((?:h[1-6]|p|li)(?:\s[^>]*)?>.*?)</(?:h[1-6]|p|li)>', 1) AS raws FROM pages

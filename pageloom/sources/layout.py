@@ -16,7 +16,7 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: what stands before a line of each kind, {k} being its number from 1 to 9; a kind without an entry is plain
 _BEFORE = {
     0: "• ", 1: "{k}. ", 2: "Figure {k}: ", 3: "Table {k}. ", 4: "1.{k} ", 6: "Note to table {k}: ", 9: "• ", 11: "[{k}] ", 12: "sent: Fri, {k} Mar 2021 11:04:09 +0000 ",
-    13: "id 1234567{k}-ABCD-0000-FFFF-1234567890AB; from 10.0.0.{k}; ", 14: '<img src="https://example.org/p{k}.png"> ', 15: "Springfield, IL 6270{k} ", 16: '[{{"a": {k}}}] ', 17: "x = $y_{k}$ ", 18: "ﬁg.\x07 {k} caf=C3=A9 ",
+    13: "id 1234567{k}-ABCD-0000-FFFF-1234567890AB; from 10.0.0.{k}; ", 14: '<img src="https://example.org/p{k}.png"> ', 15: "Springfield, IL 6270{k} (555-867-530{k}) ", 16: '[{{"a": {k}}}] ', 17: "x = $y_{k}$ ", 18: "ﬁg.\x07 {k} caf=C3=A9 ",
     19: "• ", 20: "{k}) ", 21: "{k}. ", 22: "• ",
 }
 #: list items are indented; a line of kind 12 hangs under the one before, by another step; headings are large
@@ -53,7 +53,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
     at = F.when(halves, F.col("row") % (ROWS // 2)).otherwise(F.col("row"))
     right = halves & (F.col("row") >= ROWS // 2)
     heading = kind.isin(*_HEADINGS)
-    x0 = F.lit(72) + F.when(kind.isin(*_LISTED), 18).when(kind == _WRAPPED, 38).when(kind.isin(7, 8) & ~halves, 270).otherwise(0) + F.when(right, 258).otherwise(0)
+    x0 = F.lit(72) + F.when(kind == 22, 36).when(kind.isin(*_LISTED), 18).when(kind == _WRAPPED, 38).when(kind.isin(7, 8) & ~halves, 270).otherwise(0) + F.when(right, 258).otherwise(0)
     y0 = F.lit(72) + 30 * F.when(kind.isin(8, 10, _WRAPPED) & (at > 0), at - 1).otherwise(at) + F.when((kind == _WRAPPED) & (at > 0), 14).otherwise(0)
     size = F.when(heading, 18).when(kind == 6, 9).otherwise(12)
     height = F.when(heading, 18).otherwise(12)
@@ -138,7 +138,7 @@ lines_raw AS (
 ), dressed AS (
     SELECT *, CASE kind WHEN 5 THEN translate(line, '{_LOWER}', '{_UPPER}') {" ".join(f"WHEN {k} THEN {_before_sql(b)} || line" for k, b in _BEFORE.items())} ELSE line END
         || CASE WHEN row = {ROWS - 1} AND doc_id % 5 = 0 THEN ' (continued on next page)' ELSE '' END AS text,
-        72 + CASE WHEN kind IN {_LISTED} THEN 18 WHEN kind = {_WRAPPED} THEN 38 WHEN kind IN (7, 8) AND NOT halves THEN 270 ELSE 0 END + CASE WHEN halves AND row >= {ROWS // 2} THEN 258 ELSE 0 END AS x,
+        72 + CASE WHEN kind = 22 THEN 36 WHEN kind IN {_LISTED} THEN 18 WHEN kind = {_WRAPPED} THEN 38 WHEN kind IN (7, 8) AND NOT halves THEN 270 ELSE 0 END + CASE WHEN halves AND row >= {ROWS // 2} THEN 258 ELSE 0 END AS x,
         72 + 30 * CASE WHEN kind IN (8, 10, {_WRAPPED}) AND i > 0 THEN i - 1 ELSE i END + CASE WHEN kind = {_WRAPPED} AND i > 0 THEN 14 ELSE 0 END AS y,
         CASE WHEN kind IN {_HEADINGS} THEN 18 ELSE 12 END AS tall
     FROM placed

@@ -1,5 +1,8 @@
 """Literal cases, the golden page, properties, files and streams of the layout engine."""
 
+import random
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 from pageloom.functions import cleaners as c
 from pageloom.functions import geometry as g
 from pageloom.functions import patterns as p
-from pageloom.operators import classify, grouping, spatial, splits, stats
+from pageloom.functions import measures as m
+from pageloom.operators import characters, classify, grouping, spatial, splits, stats
 from pageloom.sources import files, layout, tables
 from pageloom.streaming import documents as stream
 
@@ -246,3 +250,117 @@ def test_running_text_is_all_but_page_numbers(spark):
     rows = [(k, t, x, y, x + 40.0, y + 12.0, 612.0, 792.0) for k, (t, x, y) in enumerate([("one", 72.0, 72.0), ("two", 72.0, 102.0), ("1987", 290.0, 132.0), (None, 290.0, 760.0), ("12", 72.0, 760.0), ("12", 290.0, 766.0)])]
     blocks = spark.createDataFrame(rows, "seq long, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
     assert sorted(r.seq for r in elements._without_folios(blocks).collect()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("a,b,low,high", [("Same Text", "same text ", 1, 1), ("a", "abcdef", 0, 0), ("one two three", "one two four", 0.4, 0.8), ("step 12 done", "step 12 gone", 0.7, 1), ("kitten", "sitting", 0, 0.3)])
+def test_weighted_similarity(spark, a, b, low, high):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(m.weighted_similarity(F.col("a"), F.col("b")).alias("v")).first().v
+    assert low <= got <= high
+
+
+def brute_weighted(x, y):
+    x, y = x.lower().strip(), y.lower().strip()
+    s, t = x.split(), y.split()
+    table = [[0] * (len(t) + 1) for _ in range(len(s) + 1)]
+    for i, u in enumerate(s):
+        for j, v in enumerate(t):
+            table[i + 1][j + 1] = table[i][j] + 1 if u == v else max(table[i][j + 1], table[i + 1][j])
+    sets = [({u for u in s if u not in m.STOP_WORDS}, {v for v in t if v not in m.STOP_WORDS}), *[({x[i : i + n] for i in range(len(x) - n + 1)}, {y[i : i + n] for i in range(len(y) - n + 1)}) for n in (3, 2)]]
+    shares = [len(p & q) / len(p | q) if p | q else 0.0 for p, q in sets]
+    digits = [re.findall("[0-9]+", v) for v in (x, y)]
+    bonus = 0.3 if digits[0] and digits[0] == digits[1] else 0.0
+    return min(1.0, 0.35 * shares[0] + 0.25 * shares[1] + 0.15 * shares[2] + 0.25 * table[-1][-1] / max(len(s), len(t), 1) + bonus)
+
+
+def test_weighted_similarity_against_brute_force(spark):
+    words, r = ["the", "red", "12", "house", "of", "7", "stone", "a"], random.Random(3)
+    pairs = [(" ".join(r.choices(words, k=r.randint(3, 6))), " ".join(r.choices(words, k=r.randint(3, 6)))) for _ in range(80)]
+    pairs = [(a, b) for a, b in pairs if a != b and min(len(a), len(b)) * 2 >= max(len(a), len(b))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", m.weighted_similarity(F.col("a"), F.col("b")).alias("v")).collect()
+    assert len(got) > 40 and all(x.v == pytest.approx(brute_weighted(x.a, x.b)) for x in got)
+
+
+@pytest.mark.parametrize("text,out", [("• one\ntwo • three", ["one two ", " three"]), ("e first item", [" first item"]), ("plain", ["plain"]), ("•", [])])
+def test_bullet_paragraphs(spark, text, out):
+    got = ask(spark, text, c.bullet_paragraphs)
+    assert [x.strip() for x in got] == [x.strip() for x in out]
+
+
+def points(spark, columns):
+    r = spark.range(1).select(*[v.alias(k) for k, v in columns.items()]).first()
+    return r["points"]
+
+
+def test_second_title_scores(spark):
+    lit = F.lit
+    score = lambda t, size=12.0, bold=False, y=0.5: points(spark, classify.likely_title(lit(t), lit(size), lit(12.0), lit(bold), lit(False), lit(y)))
+    assert score("1.2 Overview", 18.0, True) == 30 + 20 + 10 + 10 + 30
+    assert score("RESULTS") == 25 and score("RESULTS", y=0.05) == 10 and score("x") == 0
+    assert score("One. Two. Three.") == 0 and score("A. Lone title") == 10 + 25 and score("Chapter 3") == 10 + 10 + 25
+    title = lambda t, size=12.0, bold=False: points(spark, classify.analysed_title(lit(t), lit(size), lit(12.0), lit(bold)))
+    assert title("Plain words") == 0 and title("Plain words", 18.0, True) == 100 and title("LOUD") == 80 and title("2.1 Methods") == 90
+    margin = lambda t, size=12.0: points(spark, classify.analysed_margin(lit(t), lit(size), lit(12.0), lit(False)))
+    assert margin("short", 9.0) == 90 and margin("short") == 80 and margin("x" * 90) == 0
+
+
+def test_types_before_and_after_classification(spark):
+    pre = lambda t, bold=False, table=False: value(spark, classify.pre_type(F.lit(t), F.lit(bold), F.lit(table)))
+    assert [pre("Table 3."), pre("figure 2"), pre("1. x"), pre("• x"), pre("Short", True), pre("text"), pre("x", table=True)] == ["TABLE_CAPTION", "FIGURE_CAPTION", "LIST_ITEM", "LIST_ITEM", "HEADING", "UNKNOWN", "TABLE_BODY"]
+    last = lambda t: value(spark, classify.last_resort(F.lit(t)))
+    assert [last("see the chart"), last("Note:"), last("12"), last("•"), last("other words")] == ["CAPTION", "HEADING", "PAGE_NUMBER", "LIST_ITEM", "TEXT"]
+
+
+def test_character_styles(spark):
+    names = "doc_id long, page_number long, seq long, line_no long, run_no long, text string, font_name string, size double, width double, height double, n long"
+    runs = spark.createDataFrame([(1, 1, 1, 0, 0, "abc", "Mono-Bold", 10.0, 6.0, 10.0, 3), (1, 1, 1, 0, 1, "def", "Times", 14.0, 8.0, 14.0, 3), (1, 1, 1, 1, 0, "g", "Times-Italic", 12.0, 4.0, 12.0, 1)], names)
+    r = characters.styles(runs, characters.BLOCK).first()
+    assert (r.font_name, r.is_bold, r.is_monospace, r.any_italic, r.is_italic, r.unique_fonts, r.char_count) == ("Mono-Bold", True, True, True, False, 3, 7)
+    assert r.avg_font_size == pytest.approx(84 / 7) and r.std_font_size == pytest.approx((24 / 7) ** 0.5)
+    s = characters.spacing(runs).first()
+    assert (s.avg_line_height, s.std_line_height) == (14.0, 0.0) and s.avg_char_width == pytest.approx(46 / 7)
+    b = characters.blocks_of_lines(characters.lines(runs)).first()
+    assert b.text == "abc def\ng" and [x.line_no for x in b.lines] == [0, 1]
+
+
+def test_what_goes_on_with_a_list(spark):
+    b = blocks(spark, [(1, 1, "Step 1: do", 72, 100, 200, 112), (1, 2, "and more", 74, 118, 200, 130), (1, 3, "still small", 74, 136, 200, 148), (1, 4, "Capital", 74, 154, 200, 166), (1, 5, "small again", 74, 172, 200, 184)])
+    assert {r.seq: r.is_list_item for r in grouping.listed_runs(b).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_captions_on_the_next_page(spark):
+    b = blocks(spark, [(1, 1, "words before", 72, 50, 200, 62), (2, 2, "Running on.", 72, 50, 200, 62), (2, 3, "Figure 4: over the page", 72, 400, 300, 412)])
+    f = spark.createDataFrame([(1, 1, 1, 72.0, 300.0, 200.0, 380.0)], "doc_id long, page_number long, image_no long, x0 double, y0 double, x1 double, y1 double")
+    assert [tuple(r) for r in spatial.captions_in_sequence(f, b).collect()] == [(1, 1, 1, 2, 3)]
+
+
+def test_marker_filters_and_order(spark):
+    b = blocks(spark, [(1, 1, "Head", 72, 50, 200, 62), (1, 2, "to be continued", 72, 700, 200, 712), (2, 3, "Head", 72, 50, 200, 62), (2, 4, "cont.", 72, 600, 200, 612)])
+    every = splits.in_order(splits.split_markers(b))
+    assert [r.split_type for r in every.orderBy("position").collect()] == ["CONTINUATION", "SPLIT_PARAGRAPH", "SPLIT_HEADER"]
+    assert splits.continuing(every).count() == 1 and splits.splitting(every).count() == 2
+
+
+def brute_touching(rows, gap=5.0, overlap=0.1):
+    groups = []
+    for r in sorted(rows, key=lambda r: (r[4], r[3], r[1])):
+        box = r[3:7]
+        for g_ in groups[-1:]:
+            near = [max(max(box[0] - o[2], o[0] - box[2], 0), max(box[1] - o[3], o[1] - box[3], 0)) <= gap for o in g_[1]]
+            if g_[0] == r[9] and any(near):
+                g_[1].append(box)
+                g_[2].append(r[1])
+                break
+        else:
+            groups.append((r[9], [box], [r[1]]))
+    return sorted((min(q), min(o[0] for o in b), min(o[1] for o in b), max(o[2] for o in b), max(o[3] for o in b)) for _, b, q in groups)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_touching_boxes_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for k in range(25):
+        x, y = r.randint(0, 60), r.randint(0, 80)
+        rows.append((1, k, "t", x, y, x + r.randint(3, 20), y + r.randint(3, 9), 12, False, r.choice(["TEXT", "TITLE"])))
+    got = sorted((x.seq, x.x0, x.y0, x.x1, x.y1) for x in spatial.merge_touching(blocks(spark, rows)).collect())
+    assert got == [tuple(map(float, x)) for x in brute_touching(rows)]

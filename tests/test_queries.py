@@ -46,3 +46,17 @@ def test_entry_works_without_the_training_folder(monkeypatch):
 
     monkeypatch.setattr(e, "_training", lambda: ({}, {}))
     assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE)
+
+
+def test_the_rest_works_with_the_training_folders_deleted(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    there = tmp_path / "copy"
+    shutil.copytree(root, there, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.parquet"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=there, env=env, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))], said.stderr
