@@ -365,6 +365,31 @@ def test_packing_of_odd_tables(odd, empty):
     assert packing.best_fit(empty).count() == 0
 
 
+def test_rows_repeated_often_are_spread(spark):
+    docs = table(spark, [(1, "one two three")] * 300 + [(2, prose(4, 9))])
+    out = packing.best_fit(docs, shard=50).collect()
+    assert len(out) == 301 and max(Counter(r.shard for r in out).values()) < 100
+
+
+def test_shards_follow_the_pieces(spark):
+    out = packing.best_fit(table(spark, [(1, prose(1, 60000)), (2, "x")]), shard=4).collect()
+    assert len({r.shard for r in out}) > 2
+
+
+def test_packing_of_a_table_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    most = min(packing.TOKENS, math.isqrt(packing.COST))
+    pieces = []
+    for d in docs.collect():
+        left = len(licenses.vec.word_list(d.text))
+        sizes = [most] * (max(0, left - 1) // most)
+        pieces += [(-n, d.doc_id, k) for k, n in enumerate([*sizes, left - sum(sizes)])]
+    pieces.sort()
+    bins = brute_pack([-p[0] for p in pieces], packing.TOKENS, packing.DOCUMENTS, packing.COST, packing.WEIGHTS, "dot")
+    want = {(d, k): (-n, b) for (n, d, k), b in zip(pieces, bins)}
+    assert {(r.doc_id, r.piece): (r.tokens, r.bin) for r in packing.best_fit(docs, shard=10**6).collect()} == want
+
+
 def test_templates():
     m = licenses.Automaton("Licensed as <<opt>>the <<opt>>very <<end>>great <<end>>work of <<var:1-3>> today")
     words = lambda s: [licenses._hash(w) for w in licenses.vec.word_list(s)]
@@ -499,6 +524,53 @@ def test_pipeline(spark, sf, empty):
     assert packed == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage done plainly: repeats by comparing all positions, lines and signatures by comparing all pairs."""
+    import corpus_pipeline as cp
+    from pageloom.llm import quality, simhash, smallworld
+
+    from .test_documents import brute_depths, brute_infix, brute_lines
+
+    r, word = random.Random(11), licenses.vec.word_list
+    items = [(k, prose(3000 + k, 18)) for k in range(3)]
+    docs, base = [], [[prose(2000 + 10 * k + j, r.randint(12, 30)) for j in range(r.randint(1, 5))] for k in range(14)]
+    for d in range(45):
+        lines = list(r.choice(base)) if d % 3 else [prose(5000 + 7 * d + j, 20) for j in range(4)]
+        if d % 4 == 0:
+            words = lines[0].split()
+            words[r.randrange(len(words))] = "changed"
+            lines[0] = " ".join(words)
+        if d % 9 == 0:
+            lines.append(items[d % 3][1])
+        if d % 11 == 0:
+            lines = ["again and again the very same ten words in a row"] * 8
+        docs.append((d, "\n".join(lines)))
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def repeats(text):
+        depth = brute_depths(word(text), quality.MIN_WORDS)
+        span = {p for i, x in enumerate(depth) for p in range(i, i + x)}
+        return len(span) > quality.MAX_FRACTION * len(word(text)) or max(depth, default=0) > quality.MAX_REPEAT
+
+    left = [(d, t) for d, t in docs if not repeats(t)]
+    gone = brute_lines(left)
+    cut = [(d, [x for k, x in enumerate(t.split("\n"), 1) if (d, k) not in gone]) for d, t in left]
+    left = [(d, "\n".join(x)) for d, x in cut if any(map(word, x))]
+    import pyarrow as pa
+
+    sig, _ = simhash.signature(pa.array([t for _, t in left]))
+    groups = smallworld.Groups(len(left))
+    pairs = smallworld.exact_pairs(sig, simhash.RADIUS)
+    groups.union(pairs[:, 0], pairs[:, 1])
+    left = [x for k, x in enumerate(left) if groups.all()[k] == k]
+    left = [(d, t) for d, t in left if all(brute_infix(word(i), word(t)) > int(0.15 * len(word(i))) for _, i in items)]
+    sizes = sorted((-len(word(t)), d) for d, t in left)
+    bins = brute_pack([-n for n, _ in sizes], packing.TOKENS, packing.DOCUMENTS, packing.COST, packing.WEIGHTS, "dot")
+    assert {x.doc_id: (x.tokens, x.bin) for x in cp.run(spark, str(tmp_path)).collect()} == {d: (-n, b) for (n, d), b in zip(sizes, bins)}
+    assert 5 < len(left) < 30
+
+
 def test_pipeline_of_odd_tables(spark, sf, odd, empty):
     import corpus_pipeline as cp
 
