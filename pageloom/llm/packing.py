@@ -11,7 +11,8 @@ Ties go to the oldest bin; where no bin has room a new one opens. A document lon
 or than its attention cost allows, is cut into full pieces and a last one, so every token is packed.
 
 A token here is a word of ``vec`` (any length column can be passed instead). Shards are chosen by a hash of
-the row, about ``shard`` documents each, so each is packed by one task, whatever the number of shards.
+the row and piece, about ``shard`` pieces each, so each is packed by one task, whatever the number of shards.
+Rows that are repeated more than ``REPEATED`` times are spread over the shards by their place in the table.
 
 Defined cases: a document without tokens (null or empty text) has one piece of 0 tokens, which takes up a
 place only; null ids are carried; repeated rows are packed each; an empty table has no bins; other columns
@@ -33,7 +34,7 @@ from .common import cut, narrow, row_key
 
 TOKENS, DOCUMENTS, COST = 4096, 32, 2048 * 4096
 WEIGHTS = (1.0, 0.25, 0.5)
-SHARD = 8192
+SHARD, REPEATED = 8192, 64
 
 
 def piece_sizes(n: int, tokens: int, cost: int) -> tuple[int, int, int]:
@@ -97,13 +98,15 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def best_fit(docs: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, weights: tuple[float, float, float] = WEIGHTS, score: str = "dot", shard: int = SHARD) -> DataFrame:
     """doc_id, piece, start, tokens, shard, bin: where each piece of each document is packed."""
-    sized = cut(lengths(docs), "lengths")
-    shards = max(1, -(-sized.count() // shard))
-    kind = sized.schema["doc_id"].dataType.simpleString()
     most = min(tokens, math.isqrt(cost))
-    split = sized.withColumn("full", F.floor((F.greatest("tokens", F.lit(1)) - 1) / most))
-    pieces = split.select("doc_id", "key", F.explode(F.sequence(F.lit(0).cast("long"), "full")).alias("piece"), "tokens", "full")
-    pieces = pieces.select("doc_id", "key", "piece", (F.col("piece") * most).alias("start"), F.when(F.col("piece") < F.col("full"), F.lit(most).cast("long")).otherwise(F.col("tokens") - F.col("full") * most).alias("tokens"), F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).alias("shard"))
+    full = F.floor((F.greatest("tokens", F.lit(1)) - 1) / most)
+    sized = cut(lengths(docs).withColumns({"full": full, "row": F.monotonically_increasing_id()}), "lengths")
+    shards = max(1, -(-(sized.agg(F.sum(F.col("full") + 1)).first()[0] or 0) // shard))
+    kind = sized.schema["doc_id"].dataType.simpleString()
+    often = sized.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > REPEATED)
+    split = sized.join(often, "key", "left").withColumn("salt", F.when(F.col("times").isNotNull(), F.col("row")).otherwise(0))
+    pieces = split.select("doc_id", "key", F.explode(F.sequence(F.lit(0).cast("long"), "full")).alias("piece"), "tokens", "full", "salt")
+    pieces = pieces.select("doc_id", "key", "piece", (F.col("piece") * most).alias("start"), F.when(F.col("piece") < F.col("full"), F.lit(most).cast("long")).otherwise(F.col("tokens") - F.col("full") * most).alias("tokens"), F.pmod(F.xxhash64("key", "piece", "salt"), F.lit(shards)).alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("key", "ascending"), ("piece", "ascending")])
