@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, narrow
 
 BRANCHES = 3
+#: turns of a conversation that one window holds at most
+BLOCK = 4096
 
 
 def messages(table: DataFrame) -> DataFrame:
@@ -32,17 +34,33 @@ def messages(table: DataFrame) -> DataFrame:
     extra = [c for c in ("parent_turn", "score") if c in table.columns]
     rows = narrow(table, "conv_id", "turn", "role", "text", *extra).where("conv_id is not null and turn is not null")
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *extra)
-    once = W.partitionBy("conv_id", "turn").orderBy("role", "text", *extra)
-    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
+    first = F.min(F.struct("role", "text", *extra)).alias("m")
+    rows = rows.groupBy("conv_id", "turn").agg(first).select("conv_id", "turn", "m.*")
     if "score" in extra:
         rows = rows.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
     else:
         rows = rows.withColumn("score", F.when(F.col("role") == "assistant", F.char_length("text")).otherwise(0).cast("long"))
-    if "parent_turn" in extra:
-        return rows.withColumnRenamed("parent_turn", "parent")
-    w = W.partitionBy("conv_id").orderBy("turn")
+    return rows.withColumnRenamed("parent_turn", "parent") if "parent_turn" in extra else with_parents(rows)
+
+
+def with_parents(rows: DataFrame) -> DataFrame:
+    """parent: the latest earlier turn of another role.
+
+    Turns are taken in blocks, so no window holds a whole conversation. A message before the first change of
+    role in its block looks to the blocks before: to the last message there, or if that has its own role, to the
+    last before it that hasn't.
+    """
+    at = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    w = W.partitionBy("conv_id", "block").orderBy("turn")
     turned = F.when(F.lag("role").over(w) != F.col("role"), F.lag("turn").over(w))
-    return rows.withColumn("at", turned).withColumn("parent", F.last("at", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("at")
+    at = at.withColumn("at", turned).withColumn("near", F.last("at", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = at.groupBy("conv_id", "block").agg(F.max(F.struct("turn", "role", "near")).alias("e"))
+    over = W.partitionBy("conv_id").orderBy("block")
+    changed = F.coalesce("e.near", F.when(F.lag("e.role").over(over) != F.col("e.role"), F.lag("e.turn").over(over)))
+    known = ends.withColumn("changed", changed).withColumn("other", F.last("changed", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    back = known.select("conv_id", "block", *[F.lag(c).over(over).alias(n) for c, n in (("e.turn", "last_turn"), ("e.role", "last_role"), ("other", "other_turn"))])
+    far = F.when(F.col("last_role") == F.col("role"), F.col("other_turn")).otherwise(F.col("last_turn"))
+    return at.join(back, ["conv_id", "block"]).select(*rows.columns, F.coalesce("near", far).alias("parent"))
 
 
 def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
