@@ -504,6 +504,47 @@ def test_reply_trees(spark):
     assert chat.format_conversations(conv(spark, [])).count() == 0
 
 
+def brute_chat(rows):
+    best = {}
+    for c, t, role, text in rows:
+        if c is not None and t is not None:
+            x = (role or "unknown", text or "")
+            best[c, t] = min(best.get((c, t), x), x)
+    out = []
+    for c in {c for c, _ in best}:
+        turns = sorted(t for k, t in best if k == c)
+        parent = {t: max((p for p in turns if p < t and best[c, p][0] != best[c, t][0]), default=None) for t in turns}
+        ways = []
+        for leaf in set(turns) - set(parent.values()):
+            way, t = [], leaf
+            while t is not None:
+                way.append(t)
+                t = parent[t]
+            score = sum(len(best[c, t][1]) for t in way if best[c, t][0] == "assistant")
+            text = "".join(f"<|{best[c, t][0]}|>\n{best[c, t][1]}\n<|end|>\n" for t in reversed(way))
+            ways.append((-score, -len(way), leaf, text))
+        out += [(c, k, leaf, -score, -n, text) for k, (score, n, leaf, text) in enumerate(sorted(ways)[:3], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,block", [(0, 4), (1, 4096), (2, 7)])
+def test_chats_against_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    r = random.Random(seed)
+    rows = [(r.choice([1, 1, 2, 3, None]), r.choice([r.randint(0, 120), r.randint(0, 120), -3, None]), r.choice(["user", "user", "assistant", "assistant", None]), r.choice(["", "hi", "a longer text", None])) for _ in range(260)]
+    rows += [(9, t, "user" if t % 2 else "assistant", prose(t, 4)) for t in range(300)]  # a deep chain
+    got = sorted((x.conv_id, x["rank"], x.leaf_turn, x.score, x.n_messages, x.text) for x in chat.format_conversations(conv(spark, rows)).collect())
+    assert got == brute_chat(rows)
+
+
+def test_chats_of_tables_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "q", "x", 5, "m"), (1, 1, "assistant", "a", "y", 6, "n")]
+    out = chat.format_conversations(conv(spark, rows, "conv_id long, turn long, role string, text string, TEXT string, block long, rank string")).collect()
+    assert [(r.conv_id, r.leaf_turn, r.n_messages) for r in out] == [(1, 1, 2)]
+    long = [(2, 0, "user", "w" * 300_000), (2, 1, "assistant", prose(1, 20000))]
+    assert len(chat.format_conversations(conv(spark, long)).first().text) > 400_000
+
+
 def test_given_parents_cycles_and_scores(spark):
     rows = [(1, 0, "user", "q", None, 0.0), (1, 1, "assistant", "a", 0, 0.5), (1, 2, "assistant", "b", 0, 0.5), (1, 3, "assistant", "c", 9, 2.0), (1, 4, "user", "x", 5, 9.0), (1, 5, "user", "y", 4, 9.0)]
     out = chat.format_conversations(conv(spark, rows, "conv_id long, turn long, role string, text string, parent_turn long, score double")).collect()
