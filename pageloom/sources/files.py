@@ -41,28 +41,38 @@ def documents_in(spark: SparkSession, folder: str, suffix: str = "*.pdf") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(folder)
 
 
-def pdf_blocks(files: DataFrame) -> DataFrame:
+def pdf_blocks(files: DataFrame, options: LayoutOptions = LayoutOptions(), pages: tuple[int, ...] | None = None) -> DataFrame:
     """blocks of PDF files through pdfminer, if it is installed on the executors; a file is read once.
 
-    The page is flipped to a top-left origin on the way in.
+    ``options`` say how characters become lines and lines blocks; ``pages`` are the numbers (from 1) to read, all
+    if none are given. A block has the style that most of its characters have and the mean of their sizes. The
+    page is flipped to a top-left origin on the way in.
     """
     schema = "doc_id long, page_number long, seq long, text string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, font_name string, font_size double, is_bold boolean, is_italic boolean"
 
     def run(batches):  # noqa: ANN001, ANN202
         import io
+        from collections import Counter
 
         import pandas as pd
         from pdfminer.high_level import extract_pages
-        from pdfminer.layout import LTChar, LTTextBox, LTTextLine
+        from pdfminer.layout import LAParams, LTChar, LTTextBox, LTTextLine
 
+        how = LAParams(line_overlap=options.line_overlap, char_margin=options.char_margin, line_margin=options.line_margin, word_margin=options.word_margin, boxes_flow=options.boxes_flow, detect_vertical=options.detect_vertical, all_texts=options.all_texts)
         for batch in batches:
             rows = []
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                for number, page in enumerate(extract_pages(io.BytesIO(content)), 1):
+                wanted = None if pages is None else [n - 1 for n in pages]
+                numbers = iter(sorted({*pages})) if pages is not None else None
+                for k, page in enumerate(extract_pages(io.BytesIO(content), page_numbers=wanted, laparams=how), 1):
+                    number = next(numbers) if numbers is not None else k
                     for seq, box in enumerate(b for b in page if isinstance(b, LTTextBox)):
-                        glyph = next((c for line in box if isinstance(line, LTTextLine) for c in line if isinstance(c, LTChar)), None)
-                        name = glyph.fontname if glyph else ""
-                        rows.append((doc_id, number, seq, box.get_text().strip(), box.x0, page.height - box.y1, box.x1, page.height - box.y0, page.width, page.height, name, glyph.size if glyph else 0.0, "bold" in name.lower(), "italic" in name.lower() or "oblique" in name.lower()))
+                        glyphs = [c for line in box if isinstance(line, LTTextLine) for c in line if isinstance(c, LTChar)]
+                        name = Counter(c.fontname for c in glyphs).most_common(1)[0][0] if glyphs else ""
+                        size = sum(c.size for c in glyphs) / len(glyphs) if glyphs else 0.0
+                        text = box.get_text().strip()
+                        if text:
+                            rows.append((doc_id, number, seq, text, box.x0, page.height - box.y1, box.x1, page.height - box.y0, page.width, page.height, name, size, "bold" in name.lower(), "italic" in name.lower() or "oblique" in name.lower()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return files.select(F.xxhash64("path").alias("doc_id"), "content").mapInPandas(run, schema)

@@ -364,3 +364,41 @@ def test_touching_boxes_against_brute_force(spark, seed):
         rows.append((1, k, "t", x, y, x + r.randint(3, 20), y + r.randint(3, 9), 12, False, r.choice(["TEXT", "TITLE"])))
     got = sorted((x.seq, x.x0, x.y0, x.x1, x.y1) for x in spatial.merge_touching(blocks(spark, rows)).collect())
     assert got == [tuple(map(float, x)) for x in brute_touching(rows)]
+
+
+READER = """
+class LAParams:
+    def __init__(self, **kw): self.kw = kw
+class LTChar:
+    def __init__(self, fontname, size): self.fontname, self.size = fontname, size
+class LTTextLine(list): pass
+class LTTextBox(list):
+    def __init__(self, text, box, lines): super().__init__(lines); self.text = text; self.x0, self.y0, self.x1, self.y1 = box
+    def get_text(self): return self.text
+class Page(list):
+    width, height = 612.0, 792.0
+def extract_pages(stream, page_numbers=None, laparams=None):
+    said = stream.read().decode()
+    for n in range(3):
+        if page_numbers is None or n in page_numbers:
+            chars = [LTChar("Times-Bold", 10.0), LTChar("Times-Bold", 10.0), LTChar("Times", 16.0)]
+            yield Page([LTTextBox(f" {said} {n} {laparams.kw['char_margin']} ", (72.0, 700.0, 110.0, 712.0), [LTTextLine(chars)]), LTTextBox(" ", (0, 0, 1, 1), [])])
+"""
+
+
+def test_pdf_pages_are_mapped_to_blocks(spark, tmp_path):
+    """A stand-in for the reader tells what it was asked; pdfminer itself isn't here."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "reader.zip", "w") as z:
+        z.writestr("pdfminer/__init__.py", "")
+        z.writestr("pdfminer/layout.py", READER)
+        z.writestr("pdfminer/high_level.py", "from pdfminer.layout import extract_pages")
+    spark.sparkContext.addPyFile(str(tmp_path / "reader.zip"))
+    (tmp_path / "a.pdf").write_bytes(b"body")
+    found = files.documents_in(spark, str(tmp_path))
+    rows = files.pdf_blocks(found).orderBy("page_number").collect()
+    assert [(r.page_number, r.text) for r in rows] == [(1, "body 0 2.0"), (2, "body 1 2.0"), (3, "body 2 2.0")]
+    r = rows[0]
+    assert (r.y0, r.y1, r.font_name, r.font_size, r.is_bold, r.page_height) == (80.0, 92.0, "Times-Bold", 12.0, True, 792.0)
+    assert [(r.page_number, r.text) for r in files.pdf_blocks(found, files.STRICT, (3,)).collect()] == [(3, "body 2 1.0")]
