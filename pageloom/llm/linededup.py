@@ -34,7 +34,9 @@ from . import vec
 from .common import cut, narrow, positional, row_key
 
 THRESHOLD = Fraction(4, 5)
-BUCKETS, RARE = 22, 1024
+#: words of more lines than RARE count as frequent: a list of so many postings is compared about as cheaply as
+#: the word pairs that take its place are sent
+BUCKETS, RARE = 22, 2048
 #: candidates of a set in one key that are verified first: where the closest lies well within the bound, and elsewhere
 BEST = (2, 12)
 #: sets of more words have a second word of parity bits in their postings
