@@ -12,6 +12,10 @@ frequent all shared words are, and the first two together are the key, which kee
 the corpus grows. Postings are filtered by length, by position and by the parity bits of the words, which
 bound the difference of two sets from below. What remains is verified on the whole sets.
 
+Keys that very many sets share, as a sample of the documents tells, are split: a set is first compared with
+its part of the key only, and where that doesn't settle it, it is sent to all parts. So no task holds a key
+of any size, and the sample decides on the way, not on the result.
+
 Defined cases: a line without words is never removed and matches nothing; null and empty texts have no
 lines and stay. Of wholly repeated rows one stays. ``keep_lines`` drops a document only if it had words
 and none is left; n_chars, if there, is brought up to date. An empty table gives an empty table. Further
@@ -41,7 +45,11 @@ BUCKETS, RARE = 22, 2048
 BEST = (2, 12)
 #: sets of more words have a second word of parity bits in their postings
 WIDE = 64
+#: postings of a key beyond which it is split, and the share of documents that is looked at for such keys
+HOT, SAMPLE = 1 << 18, 64
 _PAIRS, _HELD = 1 << 19, 1 << 22
+_SPLIT = 1 << 31
+Hot = tuple[tuple[np.ndarray, int], int]
 _LAST = (1 << 63) - 1
 _PARITY = ("p0", "p1", "p2", "p3")
 
@@ -155,9 +163,35 @@ def _keys(h: np.ndarray, bounds: np.ndarray, code: np.ndarray, frequent: int, t:
     return np.r_[line[rare], ol[a]], np.r_[word[rare], vec.mix(ow[a] * np.uint64(3) ^ vec.mix(ow[b]))], np.r_[pos[rare], op[a]]
 
 
-def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """key, sid, doc, line, spot (size and position), parity, and for large sets the parity of half the words
-    (``more``, or else 0), which makes 128 bits of the 64; with ``only``, of the keys that pass it."""
+def _parts(key: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    return vec.mix(key + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(part, np.uint64) + np.uint64(1)))
+
+
+def _split(line: np.ndarray, key: np.ndarray, pos: np.ndarray, sid: np.ndarray, hot: Hot, only: tuple[np.ndarray, int] | None, of: tuple[np.ndarray, int] | None) -> tuple[np.ndarray, ...]:
+    """Lines, keys and marked positions with each hot key replaced by its part; what passes ``of`` goes to all
+    parts. With ``only`` keys stay of which some part passes."""
+    table, parts = hot
+    split = _passes(table, key.view(np.int64))
+    own = (sid[line] % parts).astype(np.int64)
+    every = split & _passes(of, sid[line]) if of is not None else np.zeros(len(key), bool)
+    some = np.ones(len(key), bool)
+    if only is not None:
+        some = np.where(split, False, _passes(only, key.view(np.int64)))
+        at = np.flatnonzero(split)
+        for k in range(parts):
+            some[at] |= _passes(only, _parts(key[at], k).view(np.int64))
+    plain, mine = np.flatnonzero(some & ~split), np.flatnonzero(some & split & ~every)
+    wide = np.repeat(np.flatnonzero(some & every), parts)
+    each = np.tile(np.arange(parts), len(wide) // parts)
+    at = np.r_[plain, mine, wide]
+    new = np.r_[key[plain], _parts(key[mine], own[mine]), _parts(key[wide], each)]
+    return line[at], new, np.r_[pos[plain], pos[mine] | _SPLIT, pos[wide] | _SPLIT]
+
+
+def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only: tuple[np.ndarray, int] | None = None, of: tuple[np.ndarray, int] | None = None, hot: Hot | None = None) -> DataFrame:
+    """key, sid, doc, line, spot (size, position and whether the key is split), parity, and for large sets the
+    parity of half the words (``more``, or else 0), which makes 128 bits of the 64; with ``only``, of the keys
+    that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +207,11 @@ def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only
                 more[np.diff(bounds) <= WIDE] = 0
                 line, key, pos = _keys(h, bounds, code, frequent, t)
                 keep = new[line]
-                if only is not None:
+                if only is not None and hot is None:
                     keep &= _passes(only, key.view(np.int64))
                 line, key, pos = line[keep], key[keep], pos[keep]
+                if hot is not None:
+                    line, key, pos = _split(line, key, pos, sid, hot, only, of)
                 spot = (np.diff(bounds)[line] << 32) | pos
                 cols = [key.view(np.int64), sid[line], ids[row[line]], number[line], spot, parity[line].view(np.int64), more[line].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "doc", "line", "spot", "parity", "more"])
@@ -184,11 +220,19 @@ def postings(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, only
     return rows.mapInArrow(run, "key long, sid long, doc long, line long, spot long, parity long, more long")
 
 
+def hot_keys(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction) -> Hot | None:
+    """A filter of the keys that look too large for one task, and the number of parts for the largest."""
+    rows = narrow(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    counts = cut(postings(rows, code, frequent, t).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE * 2 > HOT), "hot")
+    n, most = counts.agg(F.count("*"), F.max("n")).first()
+    return (_filter(counts.select("key"), n), -(-most * SAMPLE * 2 // HOT)) if n else None
+
+
 def _candidates(cols: list[np.ndarray], t: Fraction, best: tuple[int, int] | None, of: tuple[np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(later, earlier, key) for sets that share a key and pass the filters.
 
     With ``best`` a set that has more earlier partners in one key keeps those of the least parity distance,
-    and a row without partner names the key that was cut short. Without, every partner is given, of the later
+    and a row without partner names the key that was cut short, or is a part of one. Without, every partner is given, of the later
     sets that pass ``of``.
     """
     key, sid, doc, line, spot, parity, more = cols
@@ -196,7 +240,7 @@ def _candidates(cols: list[np.ndarray], t: Fraction, best: tuple[int, int] | Non
     o = o[np.r_[True, (key[o][1:] != key[o][:-1]) | (sid[o][1:] != sid[o][:-1])]]
     key, sid, doc, line, spot, parity, more = (c[o] for c in (key, sid, doc, line, spot, parity, more))
     # bits of signed numbers are counted without the sign
-    size, pos, parity, more = spot >> 32, spot & 0xFFFFFFFF, parity.view(np.uint64), more.view(np.uint64)
+    size, pos, parity, more = spot >> 32, spot & (_SPLIT - 1), parity.view(np.uint64), more.view(np.uint64)
     less = parity ^ more
     n = len(key)
     rank = np.empty(n, np.int64)
@@ -212,6 +256,9 @@ def _candidates(cols: list[np.ndarray], t: Fraction, best: tuple[int, int] | Non
     small = size.astype(np.int32)
     rest = ((size - pos) * (t.numerator + t.denominator)).astype(np.int32)
     asked = None if of is None else _passes(of, sid)
+    split = np.flatnonzero(spot & _SPLIT) if best is not None else []
+    if len(split):  # the other parts of the key are still to be seen
+        yield sid[split], np.zeros(0, np.int64), key[split]
     pairs, held, i0 = [], 0, 0
     ends = np.append(np.flatnonzero(head)[1:], n)
     while i0 < n:
@@ -286,7 +333,7 @@ def _steps(total: np.ndarray, i0: int, i1: int) -> Iterator[tuple[int, int]]:
         i0 = j
 
 
-def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, best: tuple[int, int] | None, only: tuple[np.ndarray, int] | None = None, of: tuple[np.ndarray, int] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, best: tuple[int, int] | None, only: tuple[np.ndarray, int] | None = None, of: tuple[np.ndarray, int] | None = None, hot: Hot | None = None) -> DataFrame:
     """later, earlier, key as ``_candidates`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +345,7 @@ def candidates(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction, be
                 other = pa.array(earlier) if len(earlier) else pa.nulls(len(later), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(later), other, pa.array(key)], names=["later", "earlier", "key"])
 
-    return postings(docs, code, frequent, t, only).repartition("key").mapInArrow(run, "later long, earlier long, key long")
+    return postings(docs, code, frequent, t, only, of, hot).repartition("key").mapInArrow(run, "later long, earlier long, key long")
 
 
 def _passes(table: tuple[np.ndarray, int], ids: np.ndarray) -> np.ndarray:
@@ -383,7 +430,8 @@ def similar_sets(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction)
     settles the members of large groups. A set that isn't settled and had more candidates is then compared
     with all of them.
     """
-    found = cut(candidates(docs, code, frequent, t, BEST), "candidates")
+    hot = hot_keys(docs, code, frequent, t)
+    found = cut(candidates(docs, code, frequent, t, BEST, hot=hot), "candidates")
     pairs = cut(found.where("earlier is not null").select("later", "earlier").distinct(), "pairs")
     done = cut(_verified(docs, pairs, code, t), "similar")
     more = cut(found.where("earlier is null").select("later", "key").join(done, "later", "left_anti"), "open")
@@ -391,7 +439,7 @@ def similar_sets(docs: DataFrame, code: np.ndarray, frequent: int, t: Fraction)
     if not count:
         return done.toDF("sid")
     asked = more.select("later").distinct()
-    rest = candidates(docs, code, frequent, t, None, _filter(more.select("key"), count), _filter(asked, count)).select("later", "earlier")
+    rest = candidates(docs, code, frequent, t, None, _filter(more.select("key"), count), _filter(asked, count), hot).select("later", "earlier")
     rest = cut(rest.join(asked, "later", "left_semi").distinct(), "rest")
     return done.union(_verified(docs, rest, code, t)).distinct().toDF("sid")
 

@@ -127,6 +127,24 @@ def flips(r, sig, share):
     return sig ^ np.packbits(r.random((len(sig), 256)) < share, axis=1).view(np.uint64)
 
 
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 6)
+    monkeypatch.setattr(linededup, "SAMPLE", 2)
+    monkeypatch.setattr(linededup, "BEST", (1, 1))
+    r = random.Random(8)
+    base = [f"word{k}" for k in range(12)]
+    docs = []
+    for d in range(60):  # one family that differs by up to three words of twelve, so matches are some near, some not
+        words = list(base)
+        for k in r.sample(range(12), r.randint(0, 3)):
+            words[k] = f"other{r.randint(0, 20)}"
+        docs.append((d, " ".join(words) + "\n" + prose(d, 6)))
+    df = table(spark, docs)
+    surveyed = linededup.survey(df)
+    assert linededup.hot_keys(df, *linededup.rarity(surveyed), linededup.THRESHOLD)[1] > 1
+    assert {(x.doc_id, x.line_no) for x in linededup.line_dedup(df).collect()} == brute_lines(docs)
+
+
 @pytest.mark.parametrize("held,best", [(1 << 22, None), (1 << 22, (1, 2)), (5, (1, 2)), (5, (3, 40))])
 def test_candidates_are_all_pairs_or_the_closest(monkeypatch, held, best):
     monkeypatch.setattr(linededup, "_HELD", held)
