@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.once import once
+
 _VOID = ("", "nan", "NaN", "NULL")
 
 
@@ -17,18 +19,28 @@ def grid(text: Column) -> Column:
 
 def clean_cells(cells: Column) -> Column:
     """Trims, empties void marks, drops empty rows, then columns that are empty throughout."""
-    trimmed = F.transform(cells, lambda r: F.transform(r, lambda c: F.when(F.trim(c).isin(*_VOID), "").otherwise(F.coalesce(F.trim(c), F.lit("")))))
-    rows = F.filter(trimmed, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    every = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(rows, lambda r: F.coalesce(F.get(r, k), F.lit("")) != ""))
-    return F.transform(rows, lambda r: F.transform(every, lambda k: F.coalesce(F.get(r, k), F.lit(""))))
+    def tidy(c: Column) -> Column:
+        return F.coalesce(F.when(~F.trim(c).isin(*_VOID), F.trim(c)), F.lit(""))
+
+    def used(rows: Column) -> Column:
+        places = F.transform(rows, lambda r: F.filter(F.transform(r, lambda c, k: F.when(c != "", k)), lambda k: k.isNotNull()))
+        return F.array_sort(F.array_distinct(F.flatten(places)))
+
+    def kept(rows: Column) -> Column:
+        return once(used(rows), lambda every: F.transform(rows, lambda r: F.transform(every, lambda k: F.coalesce(F.get(r, k), F.lit("")))))
+
+    trimmed = F.transform(cells, lambda r: F.transform(r, tidy))
+    return once(F.filter(trimmed, lambda r: F.exists(r, lambda c: c != "")), kept)
 
 
 def to_html(cells: Column) -> Column:
     """A table whose head numbers the columns; cells aren't escaped."""
-    head = F.array_join(F.transform(F.sequence(F.lit(0), F.size(F.get(cells, F.lit(0))) - 1), lambda k: F.concat(F.lit("<th>"), k.cast("string"), F.lit("</th>"))), "")
-    body = F.array_join(F.transform(cells, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))), "")
-    return F.when(F.size(cells) > 0, F.concat(F.lit("<table><thead><tr>"), head, F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>")))
+    def written(cells: Column) -> Column:
+        head = F.array_join(F.transform(F.get(cells, F.lit(0)), lambda _, k: F.concat(F.lit("<th>"), k.cast("string"), F.lit("</th>"))), "")
+        body = F.array_join(F.transform(cells, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))), "")
+        return F.when(F.size(cells) > 0, F.concat(F.lit("<table><thead><tr>"), head, F.lit("</tr></thead><tbody>"), body, F.lit("</tbody></table>")))
+
+    return once(cells, written)
 
 
 def table_elements(tables: DataFrame) -> DataFrame:
