@@ -79,7 +79,7 @@ def caption_score(text: Column, box: g.Box, page_width: Column, font_size: Colum
         ((n >= 3) & (n <= 30), 15), ((page_width > 0) & centre.between(0.4, 0.6), 5), (near_figure, 40), ((font_size > 0) & (median_size > 0) & (font_size / median_size < 0.92), 5),
         (italic, 5), (F.lower(text).rlike(p.CAPTION_WORDS), 5), (~text.contains("\n"), 5),
     )
-    score = F.when(~short, 0).when(text.rlike(p.CAPTION), 95).otherwise(soft)
+    score = F.when(~short, 0).when(p.matches(text, p.CAPTION), 95).otherwise(soft)
     return {"points": score, "likely": score >= 70}
 
 
@@ -87,7 +87,7 @@ def title_score(text: Column, has_style: Column, bold: Column, font_size: Column
     """points (hundredths), level of a section number, and whether the text is a possible title (over 40)."""
     text = F.trim(text)
     s = m.text_stats(text)
-    section = F.regexp_extract(text, p.SECTION_NUMBER, 1)
+    section = F.regexp_extract(text, p.java(p.SECTION_NUMBER), 1)
     level = F.when(section != "", F.size(F.split(section, r"\.")))
     score = points(
         (s["word_count"] <= 8, 10), (text.rlike(r"[.:;!?]$"), -10), ((s["word_count"] > 0) & (m.noun_ratio(text) > 0.5), 10), (has_style & bold, 15), (has_style & (font_size > 12.0), 10),

@@ -91,7 +91,7 @@ def g18_spatial_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_layout("SELECT doc_id, seq, " + ", ".join(f"{rx('text', v)} AS {k}" for k, v in p.PATTERN_FLAGS.items()) + " FROM blocks"))
 def p00_pattern_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pattern predicates on every block."""
-    return load_blocks(spark, sf_dir).select("doc_id", "seq", *[F.col("text").rlike(v).alias(k) for k, v in p.PATTERN_FLAGS.items()])
+    return load_blocks(spark, sf_dir).select("doc_id", "seq", *[p.matches(F.col("text"), v).alias(k) for k, v in p.PATTERN_FLAGS.items()])
 
 
 _TOKEN = r"regexp_extract(trim(text), '^\S+', 0)"

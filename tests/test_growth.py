@@ -1,9 +1,11 @@
 """Large and odd rows: what one row costs must follow its size."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from pageloom.functions import patterns as p
 from pageloom.sources import tables
 
 
@@ -26,3 +28,24 @@ def test_large_and_ragged_tables(spark):
     got = dict(df.select("k", tables.to_html(tables.clean_cells(F.col("cells")))).collect())
     assert time.monotonic() - start < 30
     assert got == {k: _plain_html(g) for k, g in enumerate(grids)}
+
+
+def test_patterns_need_no_stack(spark):
+    """A line of 100,000 words, or of as many numbers, overflowed the stack of Java's recursive groups."""
+    words, dotted = "word " * 100_000 + "end", "1" + ".1" * 100_000
+    df = spark.createDataFrame([(words,), (words + "!",), (dotted + " x",), (dotted,)], "t string")
+    flags = df.select(*[p.matches(F.col("t"), v).alias(k) for k, v in p.PATTERN_FLAGS.items()], p.listed(F.col("t")).alias("listed"), F.regexp_extract("t", p.java(p.SECTION_NUMBER), 1).alias("number")).collect()
+    assert [r.heading_line for r in flags] == [True, False, False, False]
+    assert [r.caption_start for r in flags] == [False, False, True, False] and [r.listed for r in flags] == [False, False, True, False]
+    assert [len(r.number) for r in flags] == [0, 0, len(dotted), 0]
+
+
+def test_java_forms_find_the_same(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["a", "B", "1", ".", "-", " ", "  ", "\t", ";", ":", "1.1", "x y", ")"]) for _ in range(draw.randrange(9))) for _ in range(4000)]
+    patterns = [v for v in (*p.PATTERN_FLAGS.values(), p.LISTED, p.SECTION_NUMBER) if p.java(v) != v]
+    assert len(patterns) == 5
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[F.struct(F.regexp_extract("t", v, 0).alias("a"), F.col("t").rlike(v).alias("b"), F.regexp_extract("t", p.java(v), 0).alias("c"), F.col("t").rlike(p.java(v)).alias("d")).alias(f"p{k}") for k, v in enumerate(patterns)]).collect()
+    for k, v in enumerate(patterns):
+        assert all(r[k + 1].b == r[k + 1].d and (v == p.MAPI or r[k + 1].a == r[k + 1].c) for r in found), v
+        assert 20 < sum(r[k + 1].b for r in found) < 3980 or v == p.MAPI
