@@ -92,7 +92,7 @@ def contact_info(text: Column) -> Column:
 
 
 def margin_heading(text: Column, relative_y: Column) -> Column:
-    return ((relative_y <= 0.1) | (relative_y >= 0.9)) & text.rlike(HEADING_LINE)
+    return ((relative_y <= 0.1) | (relative_y >= 0.9)) & matches(text, HEADING_LINE)
 
 
 def short_page_number(text: Column) -> Column:

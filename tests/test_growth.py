@@ -34,8 +34,8 @@ def test_patterns_need_no_stack(spark):
     """A line of 100,000 words, or of as many numbers, overflowed the stack of Java's recursive groups."""
     words, dotted = "word " * 100_000 + "end", "1" + ".1" * 100_000
     df = spark.createDataFrame([(words,), (words + "!",), (dotted + " x",), (dotted,)], "t string")
-    flags = df.select(*[p.matches(F.col("t"), v).alias(k) for k, v in p.PATTERN_FLAGS.items()], p.listed(F.col("t")).alias("listed"), F.regexp_extract("t", p.java(p.SECTION_NUMBER), 1).alias("number")).collect()
-    assert [r.heading_line for r in flags] == [True, False, False, False]
+    flags = df.select(*[p.matches(F.col("t"), v).alias(k) for k, v in p.PATTERN_FLAGS.items()], p.listed(F.col("t")).alias("listed"), p.margin_heading(F.col("t"), F.lit(0.0)).alias("at_margin"), F.regexp_extract("t", p.java(p.SECTION_NUMBER), 1).alias("number")).collect()
+    assert [r.heading_line for r in flags] == [r.at_margin for r in flags] == [True, False, False, False]
     assert [r.caption_start for r in flags] == [False, False, True, False] and [r.listed for r in flags] == [False, False, True, False]
     assert [len(r.number) for r in flags] == [0, 0, len(dotted), 0]
 
