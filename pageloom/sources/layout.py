@@ -100,20 +100,29 @@ def figures(blocks: DataFrame) -> DataFrame:
     return third.select("doc_id", "page_number", F.lit(1).cast("long").alias("image_no"), *_box(F.lit(72), "top", F.lit(272), F.col("top") + 40))
 
 
-def character_runs(blocks: DataFrame) -> DataFrame:
-    """runs(doc_id, page_number, seq, line_no, run_no, text, font_name, size, width, height, n): the words of
-    laid-out blocks, eight to a line, every seventh one in a bold monospaced font and every fifth a point larger.
+def block_runs(blocks: DataFrame) -> DataFrame:
+    """doc_id, page_number, seq, the box and runs(line_no, run_no, text, font_name, size, width, height, n): the words
+    of laid-out blocks in their order, eight to a line, every seventh one in a bold monospaced font and every fifth a
+    point larger. A block without words has no row.
 
     A run stands for ``n`` characters of one font, size, width and height; single characters are runs of one.
     """
+    def run(text: Column, k: Column) -> Column:
+        k = k.cast("long")
+        size = F.col("font_size") + F.when(k % 5 == 4, 1.0).otherwise(0.0)
+        mono = k % 7 == 6
+        return F.struct(
+            F.floor(k / 8).alias("line_no"), (k % 8).alias("run_no"), text.alias("text"), F.when(mono, "Courier-Bold").otherwise(F.col("font_name")).alias("font_name"),
+            size.alias("size"), F.when(mono, 7.0).otherwise(6.0).alias("width"), size.alias("height"), F.char_length(text).cast("long").alias("n"),
+        )
+
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    each = blocks.select("doc_id", "page_number", "seq", "font_name", "font_size", F.posexplode(words).alias("k", "text"))
-    size = F.col("font_size") + F.when(F.col("k") % 5 == 4, 1.0).otherwise(0.0)
-    mono = F.col("k") % 7 == 6
-    return each.select(
-        "doc_id", "page_number", "seq", F.floor(F.col("k") / 8).alias("line_no"), (F.col("k") % 8).cast("long").alias("run_no"), "text",
-        F.when(mono, "Courier-Bold").otherwise(F.col("font_name")).alias("font_name"), size.alias("size"), F.when(mono, 7.0).otherwise(6.0).alias("width"), size.alias("height"), F.char_length("text").cast("long").alias("n"),
-    )
+    return blocks.where(F.col("text").rlike(r"\S")).select("doc_id", "page_number", "seq", "x0", "y0", "x1", "y1", F.transform(words, run).alias("runs"))
+
+
+def character_runs(blocks: DataFrame) -> DataFrame:
+    """The runs of ``block_runs``, a row each: runs(doc_id, page_number, seq, line_no, run_no, text, font_name, ...)."""
+    return block_runs(blocks).select("doc_id", "page_number", "seq", F.inline("runs"))
 
 
 def load_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

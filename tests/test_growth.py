@@ -3,9 +3,12 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import patterns as p
+from pageloom.operators import characters
+from pageloom.plans.catalog import QUERIES
 from pageloom.sources import tables
 
 
@@ -49,3 +52,32 @@ def test_java_forms_find_the_same(spark):
     for k, v in enumerate(patterns):
         assert all(r[k + 1].b == r[k + 1].d and (v == p.MAPI or r[k + 1].a == r[k + 1].c) for r in found), v
         assert 20 < sum(r[k + 1].b for r in found) < 3980 or v == p.MAPI
+
+
+def test_runs_in_rows_agree_with_runs_as_rows(spark):
+    """Fonts that tie, lines of any length and numbers; nothing but pages' sums is moved between executors."""
+    draw = random.Random(7)
+    names = "doc_id long, page_number long, seq long, x0 double, y0 double, x1 double, y1 double, runs array<struct<line_no: long, run_no: long, text: string, font_name: string, size: double, width: double, height: double, n: long>>"
+    rows = []
+    for k in range(200):
+        places = sorted({(draw.randrange(5), draw.randrange(12)) for _ in range(draw.randrange(1, 30))})
+        runs = [(i, j, "w" * draw.randrange(1, 9), draw.choice(["Times", "Courier-Bold", "x-italic", "Mono"]), float(draw.randrange(8, 15)), float(draw.randrange(4, 8)), float(draw.randrange(9, 14)), draw.randrange(1, 9)) for i, j in places]
+        rows.append((k % 7, k % 3, k, 0.0, 0.0, float(k % 5), 10.0, runs))
+    blocks = spark.createDataFrame(rows, names)
+    flat = blocks.select("doc_id", "page_number", "seq", F.inline("runs"))
+    pairs = [
+        (characters.block_styles(blocks.drop("x0", "y0", "x1", "y1")), characters.styles(flat, characters.BLOCK)), (characters.block_regions(blocks), characters.regions(flat, blocks)),
+        (characters.block_lines(blocks), characters.blocks_of_lines(characters.lines(flat)).select("doc_id", "page_number", "seq", "lines", "text")), (characters.block_spacing(blocks), characters.spacing(flat)),
+    ]
+    for k, (a, b) in enumerate(pairs):
+        rounded = lambda v: round(v, 9) if isinstance(v, float) else [rounded(x) for x in v] if isinstance(v, (list, tuple)) else v
+        columns = sorted(a.columns)
+        assert columns == sorted(b.columns) and [a.schema[c].dataType.simpleString() for c in columns] == [b.schema[c].dataType.simpleString() for c in columns]
+        assert sorted(map(repr, map(rounded, a.select(columns).collect()))) == sorted(map(repr, map(rounded, b.select(columns).collect())))
+        assert a._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == (k == 3)
+
+
+@pytest.mark.parametrize("name", ["src06_block_lines"])
+def test_styles_move_no_words(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
