@@ -6,29 +6,41 @@ another ``has_verb`` or ``noun_ratio`` column to the classifiers to plug one in.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .once import once
+
 STOP_WORDS = ("a", "an", "the", "in", "on", "at", "of", "to", "for", "by")
 VERBS = ("is", "are", "was", "were", "be", "been", "being", "am", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could", "may", "might", "must", "shall", "should", "said", "says", "make", "made", "go", "went", "gone", "see", "saw", "seen", "take", "took", "get", "got", "give", "gave", "find", "found", "know", "knew", "show", "shows")
 VERB_ENDING = r"^[a-z]{3,}(?:ing|ed|ize|ise|ify)$"
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    """The number of matches, none of them empty: a mark is put behind each, as ``regexp_count`` copies the text for each."""
+    return F.char_length(F.regexp_replace(text, pattern, "$0.")) - F.char_length(text)
+
 
+def count_of(text: Column, rest: str) -> Column:
+    """The number of characters that ``rest``, a repeated class, doesn't cover: what is left is measured, not listed."""
+    return F.char_length(F.regexp_replace(text, rest, ""))
 
-#: a blank-separated token with a letter; one of them that begins with a capital or has no small letter; the rest
-_WORD = r"\S*\p{L}\S*"
-_CAPITAL = r"(?<!\S)(?:\p{Lu}\S*|(?=\S*\p{L})[^\s\p{Ll}]+(?!\S))"
-_BESIDE = r"(?<!\S)[^\s\p{L}]+(?!\S)|\s+"
+
+#: each takes a text whole, token by token, without looking back or trying a token twice. The groups are: the first
+#: letter of a token that has one; such a token; a letter of one that begins with a capital or has no small letter
+_WORD = r"(\p{L})\S*+|\P{L}++"
+_LETTERED = r"([^\s\p{L}]*+\p{L}\S*+)|\s++|\S++"
+_CAPITAL = r"(\p{Lu})\S*+|[^\s\p{L}]*+([\p{L}&&[^\p{Ll}]])[^\s\p{Ll}]*+(?!\S)|\s++|\S++"
 
 
 def word_total(text: Column) -> Column:
     """The number of blank-separated tokens with at least one letter."""
-    return count(text, _WORD)
+    return F.char_length(F.regexp_replace(text, _WORD, "$1"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,19 +48,19 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def alpha_ratio(text: Column) -> Column:
-    return ratio(count(text, r"\p{L}"), count(text, r"\S"))
+    return ratio(count_of(text, r"\P{L}+"), count_of(text, r"\s+"))
 
 
 def special_ratio(text: Column) -> Column:
-    return ratio(count(text, r"[^\p{L}\p{N}\s]"), count(text, r"\S"))
+    return ratio(count_of(text, r"[\p{L}\p{N}\s]+"), count_of(text, r"\s+"))
 
 
 def cap_ratio(text: Column) -> Column:
-    return ratio(count(text, _CAPITAL), word_total(text))
+    return ratio(F.char_length(F.regexp_replace(text, _CAPITAL, "$1$2")), word_total(text))
 
 
 def average_word_length(text: Column) -> Column:
-    return ratio(F.char_length(F.regexp_replace(text, _BESIDE, "")), word_total(text))
+    return ratio(F.char_length(F.regexp_replace(text, _LETTERED, "$1")), word_total(text))
 
 
 def sentence_count(text: Column, min_words: int = 0) -> Column:
@@ -57,22 +69,26 @@ def sentence_count(text: Column, min_words: int = 0) -> Column:
     return F.size(parts) if not min_words else F.size(F.filter(parts, lambda s: F.size(F.split(F.trim(s), r"\s+")) >= min_words))
 
 
-_VERB = "|".join((*VERBS, VERB_ENDING[1:-1]))
+def _words(text: Column) -> Column:
+    """The runs of small letters of the text in small letters, and maybe an empty one at either end."""
+    return F.split(F.lower(text), "[^a-z]+")
 
 
-def _alone(alternatives: str) -> str:
-    """Words of small letters that are one of the alternatives."""
-    return rf"(?<![a-z])(?:{alternatives})(?![a-z])"
+def _is_verb(word: Column) -> Column:
+    """A verb of the lexicon, or three letters and one of the endings of VERB_ENDING; of a word of letters a to z."""
+    n = F.octet_length(word)
+    endings = [(n >= 3 + len(e)) & F.endswith(word, F.lit(e)) for e in ("ing", "ed", "ize", "ise", "ify")]
+    return reduce(or_, endings, word.isin(*VERBS))
 
 
 def has_verb(text: Column) -> Column:
-    return F.lower(text).rlike(_alone(_VERB))
+    return F.exists(_words(text), _is_verb)
 
 
 def noun_ratio(text: Column) -> Column:
     """The share of words that are neither verbs nor stop words."""
-    n = count(F.lower(text), "[a-z]+")
-    return ratio(n - count(F.lower(text), _alone("|".join((_VERB, *STOP_WORDS)))), n)
+    words = F.filter(_words(text), lambda w: w != "")
+    return once(words, lambda all_: ratio(F.size(F.filter(all_, lambda w: ~(w.isin(*STOP_WORDS) | _is_verb(w)))), F.size(all_)))
 
 
 def title_case(text: Column) -> Column:
@@ -83,27 +99,34 @@ def all_caps(text: Column) -> Column:
     return text.rlike(r"\p{Lu}") & ~text.rlike(r"\p{Ll}")
 
 
-def text_stats(text: Column) -> Column:
-    """All nine measures; zeros and false for an empty text."""
-    named = {
+def measured(text: Column) -> dict[str, Column]:
+    """All nine measures by name. As columns of a table they are worked out once a row, which a struct isn't promised."""
+    return {
         "alpha_ratio": alpha_ratio(text), "cap_ratio": cap_ratio(text), "special_ratio": special_ratio(text), "word_count": word_total(text), "sentence_count": sentence_count(text),
         "avg_word_length": average_word_length(text), "has_verb": has_verb(text), "is_title_case": title_case(text), "is_all_caps": all_caps(text),
     }
-    return F.struct(*[c.alias(k) for k, c in named.items()])
+
+
+def text_stats(text: Column) -> Column:
+    """All nine measures; zeros and false for an empty text."""
+    return F.struct(*[c.alias(k) for k, c in measured(text).items()])
 
 
 def text_metrics(text: Column) -> Column:
     """Mean word length, share of words with a capital first, and of . , ; : ! ? in all but the blanks."""
-    words, chars = count(text, r"\S+"), count(text, r"\S")
-    return F.struct(ratio(chars, words).alias("avg_word_length"), ratio(count(text, r"(?<!\S)\p{Lu}"), words).alias("cap_ratio"), ratio(count(text, "[.,;:!?]"), chars).alias("punct_ratio"))
+    words, chars = count(text, r"\S+"), count_of(text, r"\s+")
+    return F.struct(ratio(chars, words).alias("avg_word_length"), ratio(count(text, r"(?<!\S)\p{Lu}"), words).alias("cap_ratio"), ratio(count_of(text, "[^.,;:!?]+"), chars).alias("punct_ratio"))
 
 
-def exceeds_cap_ratio(text: Column, threshold: float = 0.5) -> Column:
-    return F.when(all_caps(text), True).when(sentence_count(text) > 1, False).when(word_total(text) == 0, True).otherwise(cap_ratio(text) > threshold)
+def exceeds_cap_ratio(text: Column, threshold: float = 0.5, known: dict[str, Column] | None = None) -> Column:
+    """``known`` are measures that are at hand."""
+    s = known or measured(text)
+    return F.when(s["is_all_caps"], True).when(s["sentence_count"] > 1, False).when(s["word_count"] == 0, True).otherwise(s["cap_ratio"] > threshold)
 
 
-def under_alpha_ratio(text: Column, threshold: float = 0.5) -> Column:
-    return (count(text, r"\S") > 0) & (alpha_ratio(text) < threshold)
+def under_alpha_ratio(text: Column, threshold: float = 0.5, known: dict[str, Column] | None = None) -> Column:
+    s = known or measured(text)
+    return text.rlike(r"\S") & (s["alpha_ratio"] < threshold)
 
 
 def without_punctuation(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import measures as m
+
 PAGE = ("doc_id", "page_number")
 
 
@@ -28,7 +30,7 @@ def mode(rows: DataFrame, keys: tuple[str, ...], value: Column, weight: Column,
 def page_stats(blocks: DataFrame) -> DataFrame:
     """Per page: medians of font size, line height and word spacing, with 12, 14 and 4 where there are none."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    glyphs = F.regexp_count("text", F.lit(r"\S")) * F.col("font_size") / 2
+    glyphs = m.count_of(F.col("text"), r"\s+") * F.col("font_size") / 2
     spacing = F.when(words > 1, F.greatest(F.lit(0.0), F.col("x1") - F.col("x0") - glyphs) / (words - 1))
 
     def middle(c: Column, default: float) -> Column:

@@ -251,10 +251,12 @@ SELECT doc_id, seq, round(alpha_ratio, 6) AS alpha_ratio, round(cap_ratio, 6) AS
 def n01_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of every block."""
     t = F.col("text")
-    s = m.text_stats(t)
-    return load_blocks(spark, sf_dir).select(
-        "doc_id", "seq", *[r6(s[k]).alias(k) for k in ("alpha_ratio", "cap_ratio", "special_ratio", "avg_word_length")], *[s[k].cast("long").alias(k) for k in ("word_count", "sentence_count")],
-        *[s[k].alias(k) for k in ("has_verb", "is_title_case", "is_all_caps")], r6(m.noun_ratio(t)).alias("noun_ratio"), m.exceeds_cap_ratio(t).alias("exceeds_caps"), m.under_alpha_ratio(t).alias("under_alpha"), m.without_punctuation(t).alias("plain"),
+    named = m.measured(t)
+    at = load_blocks(spark, sf_dir).select("doc_id", "seq", "text", *[v.alias(k) for k, v in named.items()])
+    known = {k: F.col(k) for k in named}
+    return at.select(
+        "doc_id", "seq", *[r6(known[k]).alias(k) for k in ("alpha_ratio", "cap_ratio", "special_ratio", "avg_word_length")], *[known[k].cast("long").alias(k) for k in ("word_count", "sentence_count")],
+        "has_verb", "is_title_case", "is_all_caps", r6(m.noun_ratio(t)).alias("noun_ratio"), m.exceeds_cap_ratio(t, known=known).alias("exceeds_caps"), m.under_alpha_ratio(t, known=known).alias("under_alpha"), m.without_punctuation(t).alias("plain"),
     )
 
 

@@ -1,11 +1,14 @@
 """Large and odd rows: what one row costs must follow its size."""
 
 import random
+import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions import measures as m
 from pageloom.functions import patterns as p
 from pageloom.operators import characters
 from pageloom.plans.catalog import QUERIES
@@ -81,3 +84,26 @@ def test_runs_in_rows_agree_with_runs_as_rows(spark):
 def test_styles_move_no_words(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def _plain_measures(t):
+    letter, upper, lower = (lambda c: unicodedata.category(c)[0] == "L"), (lambda c: unicodedata.category(c) == "Lu"), (lambda c: unicodedata.category(c) == "Ll")
+    words = [w for w in re.split(r"[ \t\n]+", t) if any(map(letter, w))]
+    small = [w for w in re.sub("[^a-z]+", " ", t.lower()).split()]
+    verbs = [w for w in small if w in m.VERBS or re.search(m.VERB_ENDING, w)]
+    nouns = [w for w in small if w not in verbs and w not in m.STOP_WORDS]
+    share = lambda a, b: a / b if b else 0.0
+    return [len(words), share(sum(upper(w[0]) or not any(map(lower, w)) for w in words), len(words)), share(sum(map(len, words)), len(words)), bool(verbs), share(len(nouns), len(small))]
+
+
+def test_measures_of_long_and_odd_texts(spark):
+    """Against a plain version; a token of 100,000 marks was tried anew from each of them, which took minutes."""
+    draw = random.Random(3)
+    parts = ["A", "b", "É", "é", "9", "-", "?!", " ", "  ", "\n", "is ", "Walking ", "red", "sing", "ǅ", "中", "of "]
+    texts = ["", "---", *("".join(draw.choice(parts) for _ in range(draw.randrange(25))) for _ in range(1500)), "=" * 100_000 + " Word", "Aa is " * 30_000]
+    t = F.col("t")
+    start = time.monotonic()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", m.word_total(t), m.cap_ratio(t), m.average_word_length(t), m.has_verb(t), m.noun_ratio(t)).collect()
+    assert time.monotonic() - start < 30
+    for r in got:
+        assert list(r[1:]) == pytest.approx(_plain_measures(r.t)), r.t[:80]
