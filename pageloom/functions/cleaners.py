@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import quopri
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_AT_ONCE = 1 << 20
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"
 _BULLETS = r"[\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}*\x{00B7}]"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ʪ": "ls", "ʦ": "ts", "ȹ": "qp"}
@@ -30,24 +33,39 @@ def extra_whitespace(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+_BLANKS = np.array([k for k in range(0x3001) if chr(k).isspace()], dtype=np.uint32)
+
+
+def _moves(text: str, clean: str) -> np.ndarray:
+    """For each character of clean, how many of text were dropped before it: blanks follow what stands before them."""
+    dark = [~np.isin(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), _BLANKS) for t in (text, clean)]
+    before, after = map(np.flatnonzero, dark)
+    return (before - after)[np.cumsum(dark[1]) - 1]
+
+
 @F.pandas_udf(T.StructType().add("text", T.StringType()).add("moved", T.ArrayType(T.LongType())))
-def extra_whitespace_moved(texts: pd.Series) -> pd.DataFrame:
-    """The text of ``extra_whitespace`` and, for each of its characters, how many were dropped before it."""
-    out = []
-    for t in texts:
+def extra_whitespace_moved(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The text of ``extra_whitespace`` and, for each of its characters, how many were dropped before it.
+
+    Moves take eight bytes a character, so they are handed over whenever those of ``_AT_ONCE`` characters are ready.
+    """
+    def one(t: str | None) -> tuple[str | None, np.ndarray | None]:
         if t is None:
-            out.append((None, None))
-            continue
+            return None, None
         lines = [" ".join(x.split()) for x in t.strip().split("\n")]
         clean = "\n".join(x for x in lines if x)
-        moved, at = [], 0
-        for c in clean:
-            while at < len(t) and t[at] != c and not (c.isspace() and t[at].isspace()):
-                at += 1
-            moved.append(at - len(moved))
-            at += at < len(t)
-        out.append((clean, moved))
-    return pd.DataFrame(out, columns=["text", "moved"])
+        return clean, _moves(t, clean)
+
+    for texts in batches:
+        out, size = [], 0
+        for t in texts:
+            out.append(one(t))
+            size += len(t or "")
+            if size >= _AT_ONCE:
+                yield pd.DataFrame(out, columns=["text", "moved"])
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["text", "moved"])
 
 
 @F.pandas_udf(T.StringType())

@@ -5,9 +5,11 @@ import re
 import time
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions import cleaners as c
 from pageloom.functions import measures as m
 from pageloom.functions import patterns as p
 from pageloom.operators import characters
@@ -107,3 +109,23 @@ def test_measures_of_long_and_odd_texts(spark):
     assert time.monotonic() - start < 30
     for r in got:
         assert list(r[1:]) == pytest.approx(_plain_measures(r.t)), r.t[:80]
+
+
+def test_moves_are_handed_over_in_parts(spark, monkeypatch):
+    """Against the character by character search, in parts of a few characters."""
+    draw = random.Random(11)
+    texts = [None, "", " \n ", *("".join(draw.choice(["a", "b", "é", "𝒳", " ", "  ", "\n", "\t", "\u00a0", "\x1c"]) for _ in range(draw.randrange(30))) for _ in range(500))]
+    monkeypatch.setattr(c, "_AT_ONCE", 40)
+    parts = list(c.extra_whitespace_moved.func(iter([pd.Series(texts)])))
+    assert len(parts) > 100 and sum(map(len, parts)) == len(texts)
+    for t, (clean, moved) in zip(texts, [r for part in parts for r in part.itertuples(index=False)]):
+        if t is None:
+            assert clean is None and moved is None
+            continue
+        at, plain = 0, []
+        for x in clean:
+            while at < len(t) and t[at] != x and not (x.isspace() and t[at].isspace()):
+                at += 1
+            plain.append(at - len(plain))
+            at += at < len(t)
+        assert list(moved) == plain
