@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .once import once
+
 _AT_ONCE = 1 << 20
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"
 _BULLETS = r"[\x{2022}\x{2023}\x{25E6}\x{2043}\x{2219}*\x{00B7}]"
@@ -73,11 +75,15 @@ def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def ligatures(text: Column) -> Column:
-    """Ligatures apart, then compatibility composition; the UDF sees only texts beyond ASCII."""
+def _apart(text: Column) -> Column:
     for a, b in LIGATURES.items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.when(text.rlike(r"[^\x{00}-\x{7F}]"), _compose(text)).otherwise(text)
+    return text
+
+
+def ligatures(text: Column) -> Column:
+    """Ligatures apart, then compatibility composition, which leaves ASCII alone."""
+    return _compose(_apart(text))
 
 
 def dehyphenated(text: Column) -> Column:
@@ -93,7 +99,7 @@ def printable(text: Column, keep_breaks: bool = True) -> Column:
 def _quoted(texts: pd.Series) -> pd.Series:
     def one(t: str) -> str:
         try:
-            return quopri.decodestring(t.encode()).decode()
+            return quopri.decodestring(t.encode()).decode() if "=" in t else t
         except ValueError:
             return t
 
@@ -101,8 +107,8 @@ def _quoted(texts: pd.Series) -> pd.Series:
 
 
 def mime_decoded(text: Column) -> Column:
-    """Quoted-printable decoded, or the text itself where that fails; the UDF sees only texts with '='."""
-    return F.when(text.contains("="), _quoted(text)).otherwise(text)
+    """Quoted-printable decoded, or the text itself where that fails."""
+    return _quoted(text)
 
 
 def bullets(text: Column) -> Column:
@@ -119,11 +125,17 @@ def _ordered_parts(text: Column) -> tuple[Column, Column, Column]:
 
 def ordered_bullets(text: Column) -> Column:
     """A leading 1. or 1.1.2 or a. goes; the rest is joined by single blanks."""
-    words, head, parts = _ordered_parts(text)
-    dotted = head.contains(".") & ~head.contains("..") & (head != ".")
-    valid = F.forall(parts, lambda p: (p == "") | p.rlike(r"^[\p{L}\p{N}]+$"))
-    drop = (F.size(words) >= 2) & dotted & (F.char_length(F.get(parts, F.lit(0))) <= 2) & valid
-    return F.when(drop, F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " ")).otherwise(text)
+    def of(words: Column) -> Column:
+        head = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+        return once(head, lambda head: once(F.split(F.regexp_replace(head, r"\.$", ""), r"\."), lambda parts: drop(words, head, parts)))
+
+    def drop(words: Column, head: Column, parts: Column) -> Column:
+        dotted = head.contains(".") & ~head.contains("..") & (head != ".")
+        valid = F.forall(parts, lambda p: (p == "") | p.rlike(r"^[\p{L}\p{N}]+$"))
+        goes = (F.size(words) >= 2) & dotted & (F.char_length(F.get(parts, F.lit(0))) <= 2) & valid
+        return F.when(goes, F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " "))
+
+    return F.coalesce(once(F.filter(F.split(text, _SPACE), lambda w: w != ""), of), text)
 
 
 def ordered_bullet_parts(text: Column) -> Column:
@@ -142,11 +154,12 @@ def trailing_punctuation(text: Column) -> Column:
 
 
 def clean(text: Column, lowercase: bool = False, clean_bullets: bool = True, clean_dashes: bool = True, clean_trailing: bool = True, whitespace: bool = True) -> Column:
-    """All cleaners in their order."""
+    """All cleaners in their order; each names the text once or has it worked out once, as copies would multiply."""
     steps = [printable, ligatures, dehyphenated, mime_decoded]
     steps += [F.lower] * lowercase + [bullets, ordered_bullets] * clean_bullets + [dashes] * clean_dashes + [trailing_punctuation] * clean_trailing + [extra_whitespace] * whitespace
     for s in steps:
-        text = s(text)
+        # a Python UDF can't be called within once, and these steps name the text once
+        text = s(text) if s in (printable, ligatures, dehyphenated, mime_decoded) else once(text, s)
     return strip(text)
 
 

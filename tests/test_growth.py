@@ -129,3 +129,9 @@ def test_moves_are_handed_over_in_parts(spark, monkeypatch):
             plain.append(at - len(plain))
             at += at < len(t)
         assert list(moved) == plain
+
+
+def test_cleaning_names_the_text_once(spark):
+    """Each step named the text some times, so the steps' expressions multiplied to some hundred copies."""
+    plan = spark.createDataFrame([("x",)], "t string").select(c.clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 30
