@@ -164,12 +164,15 @@ def weighted_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         def grams(v: str, n: int) -> set:
             return {v[i : i + n] for i in range(len(v) - n + 1)}
 
-        row = [0] * (len(t) + 1)
+        # bit j of ends is cleared where a longest common subsequence grows at the j-th word of t
+        places: dict[str, int] = {}
+        for j, v in enumerate(t):
+            places[v] = places.get(v, 0) | 1 << j
+        ends = whole = (1 << len(t)) - 1
         for w in s:
-            diagonal = 0
-            for j, v in enumerate(t, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if w == v else max(row[j], row[j - 1])
-        common = row[-1] / max(len(s), len(t), 1)
+            met = ends & places.get(w, 0)
+            ends = (ends + met | ends - met) & whole
+        common = (len(t) - ends.bit_count()) / max(len(s), len(t), 1)
         digits = ["".join(c if c.isdigit() else " " for c in v).split() for v in (x, y)]
         bonus = 0.3 if digits[0] and digits[0] == digits[1] else 0.0
         stop = set(STOP_WORDS)

@@ -135,3 +135,14 @@ def test_cleaning_names_the_text_once(spark):
     """Each step named the text some times, so the steps' expressions multiplied to some hundred copies."""
     plan = spark.createDataFrame([("x",)], "t string").select(c.clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 30
+
+
+def test_longest_common_subsequence_of_long_texts(spark):
+    """Two texts of 30,000 words each: their table has 900 million cells."""
+    draw = random.Random(2)
+    a = [draw.choice(["one", "two", "three", "four"]) for _ in range(30_000)]
+    b = [w for k, w in enumerate(a) if k % 10]
+    start = time.monotonic()
+    got = m.weighted_similarity.func(pd.Series([" ".join(a)]), pd.Series([" ".join(b)]))[0]
+    assert time.monotonic() - start < 20
+    assert got == pytest.approx(0.35 + 0.25 * len(b) / len(a) + 0.4, abs=0.05)
