@@ -188,9 +188,10 @@ def scored_elements(blocks: DataFrame) -> DataFrame:
 
     relative_y is measured from the bottom, as the scores assume.
     """
-    doc = stats.scored_document_stats(blocks).select("doc_id", F.col("median_font_size").alias("mid"))
-    at = blocks.join(doc, "doc_id")
-    text, size = m.scored_clean(F.col("text")), F.col("font_size")
+    doc = blocks.groupBy("doc_id").agg(stats.upper_median(F.col("font_size")).alias("mid"))
+    # a column that is named more than once is worked out once
+    at = blocks.join(doc, "doc_id").withColumn("clean", m.scored_clean(F.col("text")))
+    text, size = F.col("clean"), F.col("font_size")
     up = 1 - F.col("y1") / F.col("page_height")
     edge = (up < 0.1) | (up > 0.9)
     number = (F.char_length(text) <= 3) & text.rlike(r"^\d+$") & edge
@@ -199,13 +200,15 @@ def scored_elements(blocks: DataFrame) -> DataFrame:
     listed = points((F.trim("text").rlike(LIST_MARKS), 2), (F.col("x0") / F.col("page_width") > 0.05, 1), (F.char_length(text) < 200, 1), (lines <= 3, 1))
     note = points((text.rlike(NOTE_MARKS), 2), (up < 0.2, 1), (size < F.col("mid"), 1))
     margin = points((edge, 2), (F.lower(text).rlike(p.MARGIN_WORDS), 2), (size < F.col("mid"), 1), (F.char_length(text) < 100, 1))
+    at = at.withColumns({"of_title": title, "of_list": listed, "of_note": note, "of_margin": margin})
+    title, listed, note, margin = map(F.col, ("of_title", "of_list", "of_note", "of_margin"))
     kind, score = F.lit("Text"), F.lit(0)
     # a title is taken only above 0.7; below that the block stays text, as later tests aren't made
     for s, name in ((margin, "HeaderFooter"), (note, "Footnote"), (listed, "ListItem"), (title, "Title")):
         kind, score = F.when(s >= 3, name).otherwise(kind), F.when(s >= 3, F.least(F.lit(100), 50 + 10 * s)).otherwise(score)
     kind = F.when(number, "PageNumber").otherwise(kind)
     score = F.when(number, 90).otherwise(score)
-    return at.withColumns({"element_type": kind, "confidence": score / 100}).drop("mid")
+    return at.withColumns({"element_type": kind, "confidence": score / 100}).drop("mid", "clean", "of_title", "of_list", "of_note", "of_margin")
 
 
 def likelihoods(blocks: DataFrame) -> DataFrame:

@@ -146,3 +146,8 @@ def test_longest_common_subsequence_of_long_texts(spark):
     got = m.weighted_similarity.func(pd.Series([" ".join(a)]), pd.Series([" ".join(b)]))[0]
     assert time.monotonic() - start < 20
     assert got == pytest.approx(0.35 + 0.25 * len(b) / len(a) + 0.4, abs=0.05)
+
+
+def test_scored_text_is_cleaned_once(spark, sf):
+    plan = QUERIES["c12_scored_elements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 6 and "collect_list(font_size" in plan and "max_by" not in plan
