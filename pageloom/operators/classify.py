@@ -83,14 +83,17 @@ def caption_score(text: Column, box: g.Box, page_width: Column, font_size: Colum
     return {"points": score, "likely": score >= 70}
 
 
-def title_score(text: Column, has_style: Column, bold: Column, font_size: Column, relative_x: Column) -> dict[str, Column]:
-    """points (hundredths), level of a section number, and whether the text is a possible title (over 40)."""
+def title_score(text: Column, has_style: Column, bold: Column, font_size: Column, relative_x: Column, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """points (hundredths), level of a section number, and whether the text is a possible title (over 40).
+
+    ``known`` are the measures of the trimmed text and its noun_ratio, if they are at hand.
+    """
     text = F.trim(text)
-    s = m.text_stats(text)
+    s = known or {**m.measured(text), "noun_ratio": m.noun_ratio(text)}
     section = F.regexp_extract(text, p.java(p.SECTION_NUMBER), 1)
     level = F.when(section != "", F.size(F.split(section, r"\.")))
     score = points(
-        (s["word_count"] <= 8, 10), (text.rlike(r"[.:;!?]$"), -10), ((s["word_count"] > 0) & (m.noun_ratio(text) > 0.5), 10), (has_style & bold, 15), (has_style & (font_size > 12.0), 10),
+        (s["word_count"] <= 8, 10), (text.rlike(r"[.:;!?]$"), -10), ((s["word_count"] > 0) & (s["noun_ratio"] > 0.5), 10), (has_style & bold, 15), (has_style & (font_size > 12.0), 10),
         (has_style & s["is_all_caps"], 10), (F.abs(relative_x - 0.5) < 0.2, 5), (level.isNotNull(), 40), (F.lower(text).rlike(p.TITLE_LOWER), 30), (s["word_count"] > 15, -20),
         (s["has_verb"], -10), (s["cap_ratio"] > 0.7, 10), (s["sentence_count"] > 2, -20), (has_style & bold & (font_size >= s["avg_word_length"] * 1.2), 5),
     )
@@ -144,18 +147,26 @@ def main_elements(blocks: DataFrame, others: DataFrame | None = None) -> DataFra
         typed = typed.unionByName(others, allowMissingColumns=True)
     medians = blocks.groupBy("doc_id").agg(F.median("font_size").alias("median_size"))
     at = with_context(typed).where(F.col("text").isNotNull()).drop("element_type").join(medians, "doc_id")
-    b, text, size, middle = g.Box.of(), F.trim("text"), F.col("font_size"), F.col("median_size")
-    style = F.lit(True)
-    cap = caption_score(text, b, F.col("page_width"), size, middle, F.col("is_italic"), _near_figure(F.col("before"), b))
-    title = title_score(text, style, F.col("is_bold"), size, b.x0 / F.col("page_width"))
-    s = m.text_stats(text)
+    added = list(at.columns)
+    b, text, size, middle = g.Box.of(), F.col("trimmed"), F.col("font_size"), F.col("median_size")
+    # the cascade names these often; as columns they are worked out once a row
+    at = at.withColumn("trimmed", F.trim("text"))
+    at = at.withColumns({**{f"its_{k}": v for k, v in m.measured(text).items()}, "its_noun_ratio": m.noun_ratio(text)})
+    s = {c.removeprefix("its_"): F.col(c) for c in at.columns if c.startswith("its_")}
+    scored = {
+        "cap": caption_score(text, b, F.col("page_width"), size, middle, F.col("is_italic"), _near_figure(F.col("before"), b)),
+        "title": title_score(text, F.lit(True), F.col("is_bold"), size, b.x0 / F.col("page_width"), s),
+    }
+    at = at.withColumns({"cap_points": scored["cap"]["points"], "score_points": scored["title"]["points"], "score_level": scored["title"]["level"]})
+    cap = {"points": F.col("cap_points"), "likely": F.col("cap_points") >= 70}
+    title = {"points": F.col("score_points"), "level": F.col("score_level"), "is_title": (F.char_length(text) >= 2) & (F.col("score_points") > 40)}
     lower = F.lower(text)
     attached = (F.size("before") > 0) & cap["likely"] & (cap["points"] > 70) & _beside_body(F.concat("before", "after"), b, middle * 2)
     # a figure or table caption is believed even where no body is near
     named = (F.size("before") > 0) & cap["likely"] & (cap["points"] > 70) & lower.rlike("^(?:figure|table)")
     figure, table = lower.startswith("figure"), lower.startswith("table")
     single = (s["sentence_count"] == 1) & ~s["has_verb"] & (s["word_count"] <= 8) & (size > middle * 1.1)
-    lone = single & (s["cap_ratio"] >= 0.6) & (m.noun_ratio(text) > 0.5) & ~text.rlike(r"[.:;!?]$") & isolation(F.col("before"), F.col("after"), b, F.col("page_height"), middle)
+    lone = single & (s["cap_ratio"] >= 0.6) & (s["noun_ratio"] > 0.5) & ~text.rlike(r"[.:;!?]$") & isolation(F.col("before"), F.col("after"), b, F.col("page_height"), middle)
     listed = (size <= middle * 1.1) & ~F.col("is_bold") & p.list_item(text)
     fallen = (F.size("before") > 0) & cap["likely"] & (cap["points"] > 70)
     level_bonus = F.when(title["level"].isNotNull(), 10 * (4 - title["level"])).otherwise(0)
@@ -165,10 +176,12 @@ def main_elements(blocks: DataFrame, others: DataFrame | None = None) -> DataFra
         (title["is_title"], "TITLE", title_points), (lone, "TITLE", F.lit(85)), (listed, "LIST_ITEM", F.lit(90)), (p.equation(text), "BLOCK_EQUATION", F.lit(90)), (single & F.col("is_bold"), "TITLE", F.lit(75)),
     ]
     kind, score = F.lit("TEXT"), F.when(fallen, 95).otherwise(70)
-    for test, name, value in reversed(cases):
-        kind, score = F.when(test, name).otherwise(kind), F.when(test, value).otherwise(score)
+    at = at.withColumns({f"case_{k}": test for k, (test, _, _) in enumerate(cases)})
+    for k, (_, name, value) in reversed(list(enumerate(cases))):
+        kind, score = F.when(F.col(f"case_{k}"), name).otherwise(kind), F.when(F.col(f"case_{k}"), value).otherwise(score)
+    made = [c for c in at.columns if c not in added]
     out = at.withColumns({"element_subtype": kind, "points": score, "level": F.when(title["is_title"] & (title_points > 85), title["level"])})
-    return out.withColumns({"element_type": canonical_type(F.col("element_subtype")), "confidence": F.col("points") / 100, "title_level": F.when(F.col("element_subtype") == "TITLE", F.col("level"))}).drop("before", "after", "points", "level", "median_size")
+    return out.withColumns({"element_type": canonical_type(F.col("element_subtype")), "confidence": F.col("points") / 100, "title_level": F.when(F.col("element_subtype") == "TITLE", F.col("level"))}).drop("before", "after", "points", "level", "median_size", *made)
 
 
 def fallback_type(text: Column, classified: Column, bold: Column) -> Column:

@@ -151,3 +151,9 @@ def test_longest_common_subsequence_of_long_texts(spark):
 def test_scored_text_is_cleaned_once(spark, sf):
     plan = QUERIES["c12_scored_elements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 6 and "collect_list(font_size" in plan and "max_by" not in plan
+
+
+def test_main_cascade_measures_once(spark, sf):
+    """The measures' expressions were copied into each test of the cascade that names them."""
+    plan = QUERIES["c01_main_elements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 40
